@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from trajecta.llm.sentencepiece_bpe import op8_sentencepiece
 from trajecta.llm.sharding import op3_sharding
 from trajecta.llm.url_filter import OP1_SQL, op1_url_filter
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding}
+QUERIES = {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op8_sentencepiece": op8_sentencepiece}
 SQL = {"op1_url_filter": OP1_SQL}
