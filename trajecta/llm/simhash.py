@@ -61,11 +61,11 @@ def pivots() -> np.ndarray:
     return rng.integers(0, 1 << 63, PIVOTS, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, PIVOTS, dtype=np.uint64)
 
 
-def masks() -> list[int]:
-    """The bits of each table: all choices of PARTS - LINK parts."""
-    edge = [round(64 * i / PARTS) for i in range(PARTS + 1)]
-    part = [sum(1 << b for b in range(edge[i], edge[i + 1])) for i in range(PARTS)]
-    return [sum(part[i] for i in c) for c in combinations(range(PARTS), PARTS - LINK)]
+def masks(parts: int = PARTS, same: int = PARTS - LINK) -> list[int]:
+    """The bits of each table: all choices of so many parts."""
+    edge = [round(64 * i / parts) for i in range(parts + 1)]
+    part = [sum(1 << b for b in range(edge[i], edge[i + 1])) for i in range(parts)]
+    return [sum(part[i] for i in c) for c in combinations(range(parts), same)]
 
 
 def distances(fp: np.ndarray, mask: int = (1 << 64) - 1, n: int = PIVOTS) -> np.ndarray:
@@ -77,22 +77,25 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
 
 
+def table_keys(fp: np.ndarray, masks: list[int]) -> np.ndarray:
+    """A row for each table: a digest of each fingerprint's distances to the pivots within the table's mask."""
+    out = np.empty((len(masks), len(fp)), np.uint64)
+    for t, m in enumerate(masks):
+        key = np.full(len(fp), 0x9E3779B97F4A7C15 + t, np.uint64)
+        for w in np.ascontiguousarray(distances(fp, m, TABLE_PIVOTS)).view(np.uint64).reshape(len(fp), -1).T:
+            key = (key ^ w) * np.uint64(0xFF51AFD7ED558CCD)
+            key ^= key >> np.uint64(32)
+        out[t] = key
+    return out
+
+
 def table_rows(fps: DataFrame) -> DataFrame:
     """(table, key, fp): key is a digest of the row of distances to the pivots within the table's parts."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = _rows(b)
-        cols = []
-        for t, m in enumerate(masks()):
-            rows = np.ascontiguousarray(distances(fp, m, TABLE_PIVOTS))
-            words = rows.view(np.uint64).reshape(len(fp), -1)
-            key = np.full(len(fp), 0x9E3779B97F4A7C15 + t, np.uint64)
-            for w in words.T:
-                key = (key ^ w) * np.uint64(0xFF51AFD7ED558CCD)
-                key ^= key >> np.uint64(32)
-            cols.append(key)
-        n = len(cols)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n, dtype=np.int32), len(fp))), pa.array(np.concatenate(cols).view(np.int64)), pa.array(np.tile(fp.view(np.int64), n))], ["table", "key", "fp"])
+        keys = table_keys(fp, masks())
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(keys), dtype=np.int32), len(fp))), pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(fp.view(np.int64), len(keys)))], ["table", "key", "fp"])
 
     return map_batches(fps.select("fp"), run, "table int, key long, fp long")
 
@@ -161,14 +164,18 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints fp that connect just what links of at most 3 bits connect."""
-    rows = checkpoint(table_rows(fps))
+    return deal(checkpoint(table_rows(fps)), "fp").mapInArrow(_links, "a long, b long")
+
+
+def deal(rows: DataFrame, item: str) -> DataFrame:
+    """(table, key, i, j, side, item), sorted, from rows (table, key, item): each group of two and more in one task, or, if it is larger than BLOCK, each pair (i, j) of its blocks."""
     sizes = rows.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = rows.join(sizes, ["table", "key"])
     chunks = F.ceil(F.col("n") / BLOCK)
-    met = met.withColumn("chunks", chunks.cast("int")).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    met = met.withColumn("chunks", chunks.cast("int")).withColumn("c", F.pmod(F.xxhash64(item), F.col("chunks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("c")).alias("i"), F.greatest(k, F.col("c")).alias("j"), (k < F.col("c")).cast("int").alias("side")))
-    dealt = met.select("table", "key", F.explode(pairs).alias("p"), "fp").select("table", "key", "p.i", "p.j", "p.side", "fp")
-    return dealt.repartition("table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j").mapInArrow(_links, "a long, b long")
+    dealt = met.withColumn("p", F.explode(pairs)).select("table", "key", "p.i", "p.j", "p.side", *[c for c in rows.columns if c not in ("table", "key")])
+    return dealt.repartition("table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j")
 
 
 def near_duplicates(marked: DataFrame, key: str = "doc_id") -> DataFrame:
