@@ -24,6 +24,7 @@ BLOCKS = frozenset(
 )
 RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "math", "object", "video", "audio", "canvas")}
 ALIKE = 0.6
+CONTAINERS = frozenset("div section article main aside header footer nav form".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: An open element of the set is closed by a start tag of the key, up to the barrier.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "body": ({"head"}, {"html"})}
@@ -181,7 +182,7 @@ class TreeModel:
                     seen[y].update(((nodes[n.parent].tag, n.tag), (nodes[n.parent].tag, None)))
                 group = self._group(n.sign, nodes[n.parent].tag)
                 seen[y].update({(group, f) for f in n.sign[2:]})
-                seen[y][group, None] += 1
+                seen[y].update(((group, None), (group, n.sign[2:])))
                 step[_kind(n.sign), above, y] += 1
                 total[y] += 1
         self.seen = seen
@@ -190,15 +191,20 @@ class TreeModel:
 
     @staticmethod
     def _group(sign: tuple, under: str) -> str:
-        """Runs of text are compared with those in elements of the same kind."""
-        return "block" if sign[0] == "e" else f"text in {under if under in ('p', 'li', 'div', 'td') else 'heading' if under in HEADINGS else 'other'}"
+        """Elements are compared with those of their kind, runs of text with those in elements of the same kind."""
+        if sign[0] == "e":
+            return "container" if sign[1] in CONTAINERS else "block"
+        return f"text in {under if under in ('p', 'li', 'div', 'td') else 'heading' if under in HEADINGS else 'other'}"
 
     def odds(self, sign: tuple, under: str) -> float:
         """The potential of a node's look for main text, relative to not: its tag below its parent's, and its other features."""
         got = self.known.get((sign, under))
         if got is None:
             got, group = 1.0, self._group(sign, under)
-            for where, f in [(under, sign[1]), *[(group, f) for f in sign[2:]]]:
+            own = list(sign[2:])
+            if sign[0] == "e" and self.seen[0][group, sign[2:]] + self.seen[1][group, sign[2:]] >= 5:
+                own = [sign[2:]]  # words that are often seen together, or none, count as one
+            for where, f in [(under, sign[1]), *[(group, f) for f in own]]:
                 a, b = ((self.seen[y][where, f] + 0.5) / (self.seen[y][where, None] + 1) for y in (1, 0))
                 got *= a / b
             if len(self.known) < 100_000:

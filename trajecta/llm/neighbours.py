@@ -120,14 +120,14 @@ def descend(edges: DataFrame, nodes: DataFrame, degree: int, joined: int) -> Dat
     members = edges.where(F.col("rank") <= joined).select(F.col("node").alias("v"), F.col("home").alias("vhome"), F.col("w").alias("u")).unionByName(backward(edges.where(F.col("rank") <= joined), joined))
     worst = edges.groupBy("node").agg(F.max(F.when(F.col("rank") == degree, F.col("d"))).alias("worst"))
     known = nodes.join(worst, "node", "left").select(F.col("node").alias("u"), F.col("home").alias("uhome"), "vec", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
-    needed = members.select("vhome", "u").distinct().join(known, "u")
+    needed = members.select(F.col("vhome").alias("at"), "u").distinct().join(known, "u").select("at", F.col("u").alias("id"), "uhome", "vec", "worst")
 
     def run(groups: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"node": [], "home": [], "w": [], "whome": [], "d": [], "rank": []})
         if not len(groups) or not len(vectors):
             return none
-        vectors = vectors.sort_values("u")
-        ids, rows, worst, home = vectors["u"].to_numpy(), _matrix(vectors["vec"]), vectors["worst"].to_numpy(), vectors["uhome"].to_numpy()
+        vectors = vectors.sort_values("id")
+        ids, rows, worst, home = vectors["id"].to_numpy(), _matrix(vectors["vec"]), vectors["worst"].to_numpy(), vectors["uhome"].to_numpy()
         norm = (rows * rows).sum(1)
         groups = groups.drop_duplicates().sort_values("v", kind="stable")
         v, at = groups["v"].to_numpy(), np.searchsorted(ids, groups["u"].to_numpy())
@@ -166,7 +166,7 @@ def descend(edges: DataFrame, nodes: DataFrame, degree: int, joined: int) -> Dat
         a, b, d = kept[0]
         return pd.DataFrame({"node": ids[a], "home": home[a], "w": ids[b], "whome": home[b], "d": d, "rank": np.int32(0)}) if len(a) else none
 
-    better = members.groupBy("vhome").cogroup(needed.groupBy("vhome")).applyInPandas(run, EDGES)
+    better = members.groupBy("vhome").cogroup(needed.groupBy("at")).applyInPandas(run, EDGES)
     return nearest_edges(edges.unionByName(better), degree)
 
 

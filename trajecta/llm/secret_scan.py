@@ -113,9 +113,12 @@ def find_secrets(df: DataFrame, text: str = "text", repository: str = "doc_id",
     def number(test: Callable[[Column], Column]) -> Column:
         return F.size(F.filter("__all", test)).cast("long")
 
+    def of_kind(k: int) -> Callable[[Column], Column]:
+        return lambda s: s["kind"] == k
+
     return every.select(
         *columns,
-        *[number(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        *[number(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(joined(F.filter("__all", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
         joined(F.filter("__all", lambda s: (s["kind"] < 3) | s["live"])).alias("spans"),
         number(lambda s: s["live"]).alias("n_live"),
