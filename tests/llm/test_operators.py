@@ -403,7 +403,7 @@ def brute_secrets(text):
 
 
 def test_secrets_against_brute_force(spark):
-    key, live = "AKIA" + "Q7" * 8, "Zx9" + "aB3_" * 6
+    key, live = "AKIA" + "Q7" * 8, "Zx9kQw3eRt5_yUi7oPa1sDf"
     texts = [f"é Password = '{'k' * 12}' {key}", f"token:short secret=token={'a1' * 8} x", "API_KEY: " + "f" * 40, f"copy {key}", f"copy {key} again", f"mine {live} here", None, "", "AKIAAKIA" + "A" * 9 + " ABCDEF0123456789abcdef0123456789", "ſecret=abcdefghijklmnop apikey=\"abcdefabcdefabcdef\""]
     df = spark.createDataFrame([(i, t, f"s{i}", "x") for i, t in enumerate(texts)] + [(None, texts[0], None, "x"), (0, texts[0], "s0", "x")], "doc_id long, text string, source string, Spans string")
     out = rows(secret_scan.find_secrets(df))
