@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trajecta.llm.common import checkpoint, table
 
-SAMPLE, LEAF, TREES = 16384, 2048, 3
+SAMPLE, LEAF, TREES = 8192, 2048, 3
 EDGES = "node long, home int, w long, whome int, d float, rank int"
 
 
@@ -241,7 +241,7 @@ def clean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("vec") == (length["n"] if length else 0))
 
 
-def nearest_neighbours(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, degree: int = 32, joined: int = 14, rounds: int = 3, beam: int = 160, step: int = 64) -> DataFrame:
+def nearest_neighbours(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, degree: int = 32, joined: int = 16, rounds: int = 4, beam: int = 400, step: int = 128) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean, in double precision) of the k nearest rows found for each query.
 
     is_query is a condition on the column vec_id. Rows with a null id and vectors that are null, zero, of another length
