@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = checkpoint(_down(edges.select("a", "b")))
     before = None
     while True:
-        both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = state.select(F.explode(ends).alias("e")).select("e.a", "e.b")
         smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = _down(both.where("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
