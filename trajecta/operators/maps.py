@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trajecta.functions.geometry import angle, cell_center, grid_cell, hilbert_index, in_ranges
 from trajecta.operators import kernels as K
 from trajecta.operators.grouped import per_trajectory
-from trajecta.operators.measures import numbered, recurrence
+from trajecta.operators.measures import both_triangles, numbered, recurrence
 from trajecta.roles import Roles
 
 
@@ -36,8 +36,7 @@ def hilbert_encoding(df: DataFrame, roles: Roles, p: int = 4) -> DataFrame:
 
 def recurrence_matrix(df: DataFrame, roles: Roles, rho: float, name: str = "euclidean") -> DataFrame:
     """(pk, i, j) of the ones, both triangles; the diagonal is zero."""
-    upper = recurrence(df, roles, rho, name).select(*roles.pk, "i", "j")
-    return upper.unionByName(upper.select(*roles.pk, F.col("j").alias("i"), F.col("i").alias("j")))
+    return both_triangles(recurrence(df, roles, rho, name), roles)
 
 
 def gramian_field(df: DataFrame, roles: Roles, value: str, field: str = "difference", polar: str = "cosine") -> DataFrame:
@@ -59,18 +58,18 @@ def quantile_states(df: DataFrame, roles: Roles, value: str, n_bins: int) -> Dat
 
 
 def transition_matrix(df: DataFrame, roles: Roles, value: str, n_bins: int = 10) -> DataFrame:
-    """(pk, a, b, p): shares of the moves from state a that lead to b."""
+    """(pk, a, b, share): shares of the moves from state a that lead to b."""
     w = Window.partitionBy(*roles.pk).orderBy("seq")
     moves = quantile_states(df, roles, value, n_bins).withColumn("b", F.lead("state").over(w)).where("b is not null").groupBy(*roles.pk, F.col("state").alias("a"), "b").agg(F.count("*").alias("k"))
-    return moves.select(*roles.pk, "a", "b", (F.col("k") / F.sum("k").over(Window.partitionBy(*roles.pk, "a"))).alias("p"))
+    return moves.select(*roles.pk, "a", "b", (F.col("k") / F.sum("k").over(Window.partitionBy(*roles.pk, "a"))).alias("share"))
 
 
 def transition_field(df: DataFrame, roles: Roles, value: str, n_bins: int = 10) -> DataFrame:
-    """(pk, i, j, p): the Markov transition field."""
+    """(pk, i, j, share): the Markov transition field."""
     keys = list(roles.pk)
     s = quantile_states(df, roles, value, n_bins)
     pairs = s.select(*keys, F.col("seq").alias("i"), F.col("state").alias("a")).join(s.select(*keys, F.col("seq").alias("j"), F.col("state").alias("b")), keys)
-    return pairs.join(transition_matrix(df, roles, value, n_bins), [*keys, "a", "b"], "left").select(*keys, "i", "j", F.coalesce("p", F.lit(0.0)).alias("p"))
+    return pairs.join(transition_matrix(df, roles, value, n_bins), [*keys, "a", "b"], "left").select(*keys, "i", "j", F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def images(df: DataFrame, roles: Roles, kinds: Sequence[str] = ("heatmap",), shape: tuple[int, int] = (32, 32), n_bins: int = 10) -> DataFrame:

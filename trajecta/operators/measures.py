@@ -19,9 +19,9 @@ def numbered(df: DataFrame, roles: Roles) -> DataFrame:
 
 def shannon_entropy(df: DataFrame, roles: Roles) -> DataFrame:
     """Bits of the shares of the areas. Rows without an area count in the total, but are no area."""
-    cells = df.dropna(subset=list(roles.pk)).groupBy(*roles.pk, roles.aoi).agg(F.count("*").alias("k"))
-    cells = cells.withColumn("p", F.col("k") / F.sum("k").over(roles.whole()))
-    return cells.groupBy(*roles.pk).agg(F.coalesce(F.sum(F.when(F.col(roles.aoi).isNotNull(), -F.col("p") * F.log2("p"))), F.lit(0.0)).alias("entropy"))
+    cells = df.dropna(subset=list(roles.pk)).groupBy(*roles.pk, roles.aoi).agg(F.count("*").alias("__k"))
+    cells = cells.withColumn("__share", F.col("__k") / F.sum("__k").over(roles.whole()))
+    return cells.groupBy(*roles.pk).agg(F.coalesce(F.sum(F.when(F.col(roles.aoi).isNotNull(), -F.col("__share") * F.log2("__share"))), F.lit(0.0)).alias("entropy"))
 
 
 def grid_bin(v: Column, lo: Column, hi: Column, n: int) -> Column:
@@ -34,8 +34,8 @@ def gridded_entropy(df: DataFrame, roles: Roles, grid_size: int = 10) -> DataFra
     w = roles.whole()
     x, y = F.col(roles.x), F.col(roles.y)
     cells = df.dropna(subset=list(roles.pk)).select(*roles.pk, grid_bin(x, F.min(x).over(w), F.max(x).over(w), grid_size).alias("i"), grid_bin(y, F.min(y).over(w), F.max(y).over(w), grid_size).alias("j"))
-    cells = cells.groupBy(*roles.pk, "i", "j").agg(F.count("*").alias("k")).withColumn("p", F.col("k") / F.sum("k").over(w))
-    return cells.groupBy(*roles.pk).agg(F.sum(-F.col("p") * F.ln("p")).alias(f"gridded_entropy_grid_size_{grid_size}"))
+    cells = cells.groupBy(*roles.pk, "i", "j").agg(F.count("*").alias("__k")).withColumn("__share", F.col("__k") / F.sum("__k").over(w))
+    return cells.groupBy(*roles.pk).agg(F.sum(-F.col("__share") * F.ln("__share")).alias(f"gridded_entropy_grid_size_{grid_size}"))
 
 
 def metric(ax: Column, ay: Column, bx: Column, by: Column, name: str = "euclidean") -> Column:
@@ -59,6 +59,12 @@ def recurrence(df: DataFrame, roles: Roles, rho: float = 0.1, name: str = "eucli
     return pairs.where(metric(F.col("px"), F.col("py"), F.col("qx"), F.col("qy"), name) <= rho).select(*roles.pk, "i", "j", "n")
 
 
+def both_triangles(cells: DataFrame, roles: Roles) -> DataFrame:
+    """(pk, i, j) of both triangles."""
+    ends = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return cells.select(*roles.pk, F.explode(ends).alias("__cell")).select(*roles.pk, "__cell.i", "__cell.j")
+
+
 def _line_sums(cells: DataFrame, roles: Roles, line: Sequence[str], at: str, min_length: int) -> DataFrame:
     """For each cell that starts min_length filled ones in its line, the number of filled cells from it on; added up."""
     w = Window.partitionBy(*roles.pk, *line).orderBy(at)
@@ -81,7 +87,7 @@ def rqa_measures(df: DataFrame, roles: Roles, rho: float = 0.1, min_length: int
         out = out.join(det, keys, "left")
         made["det"] = 100 * F.coalesce("dl", F.lit(0)) / r
     if "lam" in measures:
-        both = cells.select(*keys, "i", "j").unionByName(cells.select(*keys, F.col("j").alias("i"), F.col("i").alias("j")))
+        both = both_triangles(cells, roles)
         lam = _line_sums(both, roles, ["i"], "j", min_length).withColumnRenamed("total", "hl")  # the matrix is symmetric: rows and columns alike
         out = out.join(lam, keys, "left")
         made["lam"] = 100 * 2 * F.coalesce("hl", F.lit(0)) / (2 * r)
@@ -92,7 +98,7 @@ def rqa_measures(df: DataFrame, roles: Roles, rho: float = 0.1, min_length: int
 def interleaved(df: DataFrame, roles: Roles) -> DataFrame:
     """(pk, k, v): x and y of the rows in turn."""
     rows = numbered(df, roles)
-    return rows.select(*roles.pk, F.explode(F.array(F.struct((F.col("seq") * 2).alias("k"), F.col(roles.x).alias("v")), F.struct((F.col("seq") * 2 + 1).alias("k"), F.col(roles.y).alias("v")))).alias("p")).select(*roles.pk, "p.k", "p.v")
+    return rows.select(*roles.pk, F.explode(F.array(F.struct((F.col("seq") * 2).alias("k"), F.col(roles.x).alias("v")), F.struct((F.col("seq") * 2 + 1).alias("k"), F.col(roles.y).alias("v")))).alias("__pair")).select(*roles.pk, "__pair.k", "__pair.v")
 
 
 def embedded(df: DataFrame, roles: Roles, m: int = 2, tau: int = 1) -> DataFrame:

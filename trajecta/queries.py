@@ -179,8 +179,8 @@ add("hilbert_encoding", ["user_id", "ones", "size"], [], over_events(lambda df:
 add("gaf", ["user_id", "i", "j"], ["v"], over_events(lambda df: maps.gramian_field(df, R, "x")), f"{SCALED}, a as (select user_id, seq, acos(greatest(-1, least(1, sx * 2 - 1))) as a from m) select p.user_id, p.seq as i, q.seq as j, sin(p.a - q.a) as v from a p join a q on p.user_id = q.user_id", 6)
 MTM = f"""with f as ({EVENTS_SQL}), q as (select *, row_number() over w - 1 as seq from f {W}), e as (select user_id, quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) as edges from f group by 1), b as (select q.user_id, seq, len(list_filter(edges, lambda z: z < x)) as st from q join e on q.user_id = e.user_id),
 mv as (select user_id, st as a, lead(st) over (partition by user_id order by seq) as b from b), k as (select user_id, a, b, count(*) as k from mv where b is not null group by all), tm as (select user_id, a, b, k / sum(k) over (partition by user_id, a) as p from k)"""
-add("mtm", ["user_id", "a", "b"], ["p"], over_events(lambda df: maps.transition_matrix(df, R, "x", 5)), f"{MTM} select user_id, a::int as a, b::int as b, p from tm")
-add("mtf", ["user_id", "i", "j"], ["p"], over_events(lambda df: maps.transition_field(df, R, "x", 5)), f"{MTM} select g.user_id, g.seq as i, h.seq as j, coalesce(p, 0) as p from b g join b h on g.user_id = h.user_id left join tm on tm.user_id = g.user_id and tm.a = g.st and tm.b = h.st")
+add("mtm", ["user_id", "a", "b"], ["share"], over_events(lambda df: maps.transition_matrix(df, R, "x", 5)), f"{MTM} select user_id, a::int as a, b::int as b, p as share from tm")
+add("mtf", ["user_id", "i", "j"], ["share"], over_events(lambda df: maps.transition_field(df, R, "x", 5)), f"{MTM} select g.user_id, g.seq as i, h.seq as j, coalesce(p, 0) as share from b g join b h on g.user_id = h.user_id left join tm on tm.user_id = g.user_id and tm.a = g.st and tm.b = h.st")
 add("sequences", ["user_id", "length"], ["first_x", "last_y"], over_events(lambda df: maps.sequences(df, R, ["x", "y"], 60).select("user_id", F.col("length").cast("int").alias("length"), F.col("rows")[0][0].alias("first_x"), F.col("rows")[59][1].alias("last_y"))), f"with f as ({EVENTS_SQL}), q as (select user_id, x, y, row_number() over w - 1 as seq from f {W}) select user_id, least(count(*), 60)::int as length, max(case when seq = 0 then x end) as first_x, coalesce(max(case when seq = 59 then y end), 0) as last_y from q group by 1")
 CELLS = f"""with f as ({EVENTS_SQL}), q as (select *, row_number() over w - 1 as seq, trunc(x * 10)::int as ci, trunc(y * 10)::int as cj from f {W}), c as (select *, ci * 10 + cj as cell from q), g as (select *, lead(cell) over o as nx, sqrt(pow(lead(x) over o - x, 2) + pow(lead(y) over o - y, 2)) as step from c window o as (partition by user_id order by seq))"""
 add("graph_edges", ["user_id", "src", "dst", "times"], ["weight"], over_events(lambda df: maps.graph_edges(df, R)), f"{CELLS}, e as (select user_id, cell as src, nx as dst, count(*) as times, sum(step) as s from g where nx <> cell group by all) select user_id, src, dst, times, s / max(s) over (partition by user_id) as weight from e")
