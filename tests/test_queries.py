@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -21,7 +22,7 @@ def con():
 
 def rows(frame, columns):
     def one(v):
-        return None if v is None or v != v else float(f"{v:.6g}") if isinstance(v, float) else v.item() if hasattr(v, "item") else v
+        return None if pd.isna(v) else float(f"{v:.6g}") if isinstance(v, float) else v.item() if hasattr(v, "item") else v
 
     return sorted((tuple(map(one, r)) for r in frame[columns].itertuples(index=False)), key=str)
 
