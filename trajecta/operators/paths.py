@@ -51,8 +51,8 @@ def fill_path(expected: DataFrame, roles: Roles, method: str = "mean") -> DataFr
         total = expected.select(*roles.path_pk).distinct().agg(F.count("*").alias("paths"))
         n = total.first()["paths"]
         return expected.groupBy("step").agg(*[(F.sum(c) / F.lit(n)).alias(c) for c in names])
-    own = Roles(pk=tuple(roles.path_pk), order=("step",), x="x_est", y="y_est", duration="duration_est" if "duration_est" in names else None, path_pk=("__all",))
-    return expected_paths(expected.drop("n").withColumn("__all", F.lit(1)), own, method).drop("__all")
+    own = Roles(pk=tuple(roles.path_pk), order=("__step",), x="x_est", y="y_est", duration="duration_est" if "duration_est" in names else None, path_pk=("__all",))
+    return expected_paths(expected.withColumnRenamed("step", "__step").withColumn("__all", F.lit(1)), own, method).drop("__all")
 
 
 def step_distances(df: DataFrame, roles: Roles, expected: DataFrame) -> DataFrame:

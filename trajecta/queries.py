@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.operators import features as P
-from trajecta.operators import fixations, kernels, maps, measures, paths, preprocess, tables
+from trajecta.operators import fixations, kernels, maps, measures, paths, preprocess, reports, tables
 from trajecta.operators.grouped import Kernel
+from trajecta.plans import batteries
 from trajecta.plans.extractor import Extractor
 from trajecta.roles import Roles
 from trajecta.sources.tables import EVENTS_SQL, event_trajectories
@@ -120,6 +121,13 @@ KERNEL_NAMES = [n for k in scalar_kernels() for n in k.names]
 add("measure_kernels", U, KERNEL_NAMES, over_events(lambda df: Extractor([], R, scalar_kernels()).transform(df)), None, 6)
 add("all_features", [*U, "id"], ["sac_length_mean", "reg_mask_sum", "fix_duration_mean", "saccade_nll", "spectral_entropy", *KERNEL_NAMES], over_events(lambda df: Extractor([P.SaccadeFeatures(), P.RegressionFeatures({"length": BASIC, "mask": ("sum",)}), P.MicroSaccadeFeatures(max_speed=0.5), P.FixationFeatures(), P.SaccadeUnlikelihood(), P.SpectralEntropy()], R, scalar_kernels(), {"cohort": "max"}).transform(df)), None, 6)
 
+# --- batteries
+_fix, _sac = ([f"{p}_{f}_{n}" for n in batteries.BASIC] for p, f in (("fix", "duration"), ("sac", "length")))
+add("battery_simple", U, [*_fix, *_sac], over_events(lambda df: batteries.simple_battery(R).transform(df)), f"""{STEPS} select user_id, {", ".join(f'{AGG[n].format(v=c, c="true")} as "{p}_{c}_{n}"' for p, c in (("fix", "duration"), ("sac", "length")) for n in batteries.BASIC)} from s group by user_id""")
+add("battery_recurrence", U, ["rec_metric_euclidean_length_1_rho_0.1", "corm_euclidean_length_1_rho_0.1"], over_events(lambda df: Extractor([], R, [batteries.recurrence(measures=("rec", "corm"))]).transform(df)), f"""{RQA}, m as (select user_id, count(*) as m, sum(j-i) as far from c group by 1)
+select n.user_id, 200 * (coalesce(m,0) + 1e-7) / (n*(n-1)) as "rec_metric_euclidean_length_1_rho_0.1", 100 * coalesce(far,0) / ((n-1) * (coalesce(m,0) + 1e-7)) as "corm_euclidean_length_1_rho_0.1" from n left join m on n.user_id = m.user_id""", 6)
+add("length_report", ["trajectories", "rows_min", "rows_max"], ["rows_mean", "rows_std"], over_events(lambda df: reports.length_report(df, R)), f"with f as ({EVENTS_SQL}), n as (select user_id, count(*) as k from f group by 1) select count(*) as trajectories, min(k) as rows_min, max(k) as rows_max, avg(k) as rows_mean, stddev_pop(k) as rows_std from n")
+
 # --- fixations, blinks, areas
 IVT = f"""with f as ({EVENTS_SQL}), v as (select *, sqrt(pow(lead(x) over w - x, 2) + pow(lead(y) over w - y, 2)) as step, lead(t) over w - t as dt from f {W}), g as (select *, step / (dt + 1e-10) <= 5e-6 as fl from v where dt is not null),
 h as (select *, case when fl and not coalesce(lag(fl) over w, false) then 1 else 0 end as st from g {W}), i as (select *, sum(st) over (partition by user_id order by t, event_id rows unbounded preceding) as fixation_id from h),
