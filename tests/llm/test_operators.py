@@ -238,6 +238,29 @@ def test_near_copies_against_brute_force(spark, docs):
     assert got == {(k, least[c]) for (k, _), c in zip(pairs, found, strict=True)}
 
 
+def brute_near_copies(df):
+    pairs = sorted({(r["doc_id"], r["text"] or "") for r in rows(df) if r["doc_id"] is not None})
+    sets = [set(near_copies.shingles(t).tolist()) for _, t in pairs]
+    found = components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9)
+    least = {}
+    for (k, _), c in zip(pairs, found, strict=True):
+        least[c] = min(least.get(c, k), k)
+    return {(k, least[c]) for (k, _), c in zip(pairs, found, strict=True)}
+
+
+def test_near_copies_with_blocks_of_text(spark):
+    r, made = random.Random(16), []
+    footer = [f"f{k}" for k in range(12)]
+    for k in range(30):
+        base = [f"w{r.randrange(50_000)}" for _ in range(r.randint(60, 400))]
+        n = len(base)
+        versions = [base, base[: n * 82 // 100], base + [f"x{r.randrange(50_000)}" for _ in range(n * 22 // 100)], base[n // 6 :]]
+        made += [(10 * k + i, " ".join(v + footer * (k % 2)), "en", "s", 0) for i, v in enumerate(versions)]
+    df = spark.createDataFrame(made, DOCS)
+    want = brute_near_copies(df)
+    assert len({c for _, c in want}) < 60 and {(o["doc_id"], o["component_id"]) for o in rows(near_copies.near_copies(df))} == want
+
+
 # --- language ID
 
 

@@ -1,15 +1,19 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash finds the candidates. Each text has SEEDS fingerprints of its set of words; the pivot distance tables of the
+SimHash finds most links. Each text has SEEDS fingerprints of its set of words; the pivot distance tables of the
 module simhash deal each fingerprint out by the distances within two of its four parts. What meets is compared by all
 SEEDS x 64 bits, and every text passes on its nearest few, and of its next nearest those that join what is still apart.
-Each such pair is verified on the two texts' sets of shingles, so no link is wrong; links can be missed if the bits of two
-similar texts differ too much (on the test data none of them is).
+
+What this misses is found exactly. Shingles are put in one order for all texts, the most common ones last. Two sets with
+a similarity of 0.8 share a shingle among the first fifth of either; so all texts that share such a shingle are paired,
+unless verified links join them already or the sizes and places rule the similarity out. Each pair of either pass is
+verified on the two texts' sets of shingles. So no link is wrong, and the components are those of all links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,8 @@ from trajecta.llm.simhash import deal, masks, table_keys
 
 SEEDS, PARTS, SAME, SHINGLE, SIMILAR = 6, 4, 2, 5, 0.8
 NEAR_BITS, NEAREST = 56, 4
+COMMON, MOST_COMMON = 8, 1 << 16  # a shingle is common if a task's texts hold it so often; so many are put last
+FEW = 2  # pairs of two components that a shared shingle passes on before all of them are
 
 
 def word_fingerprints(text: str) -> bytes:
@@ -46,6 +52,49 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(r)) for r in runs], np.uint64))
 
 
+def common_shingles(df: DataFrame) -> np.ndarray:
+    """Digests of the MOST_COMMON most common shingles of the texts (the only column), the rarest first.
+
+    Tasks name those they see COMMON times. Which are found sets the cost of the prefixes, and nothing else.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, count, held = np.empty(0, np.uint64), np.empty(0, np.int64), [np.empty(0, np.uint64)]
+
+        def merge() -> None:
+            nonlocal seen, count
+            new, n = np.unique(np.concatenate(held), return_counts=True)
+            both, where = np.unique(np.concatenate([seen, new]), return_inverse=True)
+            count = np.bincount(where, np.concatenate([count, n]), len(both)).astype(np.int64)
+            seen, held[:] = both, [np.empty(0, np.uint64)]
+            if len(seen) > 1 << 22:  # single ones go, so that a task's memory stays bounded
+                seen, count = seen[count > 1], count[count > 1]
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held.append(shingles(t or ""))
+                if len(held) > 2048:
+                    merge()
+        merge()
+        often = count >= COMMON
+        yield pa.RecordBatch.from_arrays([pa.array(seen[often].view(np.int64)), pa.array(count[often])], ["key", "n"])
+
+    total = df.mapInArrow(over, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = total.orderBy(F.col("n").desc(), "key").limit(MOST_COMMON).collect()
+    return np.array([r["key"] for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of a sorted set of shingles those of which a set with similarity SIMILAR holds one: uncommon ones first, by digest, then common ones by rank (common is sorted)."""
+    n = len(found) - int(np.ceil(SIMILAR * len(found) - 1e-9)) + 1
+    if not len(common):
+        return found[:n]
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    known = common[at] == found
+    late = found[known][np.argsort(rank[at[known]])]
+    return np.concatenate([found[~known], late])[:n]
+
+
 def _pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
     """For each of left its NEAREST of right within NEAR_BITS, and of its next 3 x NEAREST those that join parts still apart."""
     root: dict[int, int] = {}
@@ -101,6 +150,53 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def _apart(most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From sorted rows (table, key, i, j, side, node, size, place, component) the pairs of different components that can be similar; at most so many of two components, or all."""
+
+    def emit(parts: list[np.ndarray]) -> pa.RecordBatch | None:
+        rows = np.concatenate(parts)
+        node, size, place, component = rows[:, 5], rows[:, 6], rows[:, 7], rows[:, 8]
+        same = rows[0, 2] == rows[0, 3]
+        left, right = (np.arange(len(rows)),) * 2 if same else (np.flatnonzero(rows[:, 4] == 0), np.flatnonzero(rows[:, 4] == 1))
+        out, passed = [], Counter()
+        for i in left:
+            r = right[right > i] if same else right
+            r = r[component[r] != component[i]]
+            r = r[np.minimum(size[r] - place[r], size[i] - place[i]) >= SIMILAR / (1 + SIMILAR) * (size[r] + size[i]) - 1e-6]
+            if most is not None:
+                kept = []
+                for j in r:
+                    two = (min(component[i], component[j]), max(component[i], component[j]))
+                    if passed[two] < most:
+                        passed[two] += 1
+                        kept.append(j)
+                r = np.array(kept, np.int64)
+            if len(r):
+                out.append(np.stack([np.minimum(node[r], node[i]), np.maximum(node[r], node[i])]))
+        if not out:
+            return None
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            if not len(rows):
+                continue
+            cut = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
+            for part in np.split(rows, cut):
+                if held and (held[-1][0, :4] != part[0, :4]).any():
+                    if (out := emit(held)) is not None:
+                        yield out
+                    held = []
+                held.append(part)
+        if held and (out := emit(held)) is not None:
+            yield out
+
+    return over
+
+
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component_id) for each key: the smallest key that exact copies and similar texts lead to, the row's own included.
 
@@ -108,14 +204,20 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     repeat a key, each text links.
     """
 
+    source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    ordered = common_shingles(source.select("text"))
+    rank = np.argsort(ordered)
+    common = ordered[rank]
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in b.column(1).to_pylist()]
         digest = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array([word_fingerprints(t) for t in texts], pa.binary())], ["id", "digest", "fps"])
+        sets = [shingles(t) for t in texts]
+        first = [prefix(x, common, rank).tobytes() for x in sets]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array([word_fingerprints(t) for t in texts], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.binary())], ["id", "digest", "fps", "size", "first"])
 
-    source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    marked = checkpoint(map_batches(source, run, "id long, digest binary, fps binary"))
-    nodes = checkpoint(marked.groupBy("digest").agg(F.min("id").alias("node"), F.first("fps").alias("fps")))
+    marked = checkpoint(map_batches(source, run, "id long, digest binary, fps binary, size long, first binary"))
+    nodes = checkpoint(marked.groupBy("digest").agg(F.min("id").alias("node"), F.first(F.struct("fps", "size", "first")).alias("s")).select("digest", "node", "s.*"))
 
     def tables(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, SEEDS)
@@ -135,16 +237,35 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     sizes = rows.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     met = rows.join(sizes, ["table", "key"]).join(nodes.select("node", "fps"), "node").select("table", "key", "node", "fps")
     found = checkpoint(deal(met, "node").mapInArrow(_candidates, "a long, b long").distinct())
-    wanted = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t or "").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
 
-    texts = source.join(wanted, source["id"] == wanted["node"]).select("node", "text").dropDuplicates(["node"])
-    sets = checkpoint(map_batches(texts, cut, "node long, set binary"))
-    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("own")), sets.select(F.col("node").alias("b"), F.col("set").alias("other"))
-    pairs = found.join(right, "b").join(left, "a").select("a", "b", "own", "other")  # no groups: a text that many lead to is split like any skewed join
-    links = map_batches(pairs, verify, "a long, b long")
-    components = connected_components(links)
+    def verified(found: DataFrame) -> DataFrame:
+        wanted = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+        texts = source.join(wanted, source["id"] == wanted["node"]).select("node", "text").dropDuplicates(["node", "text"])
+        sets = checkpoint(map_batches(texts, cut, "node long, set binary"))
+        left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("own")), sets.select(F.col("node").alias("b"), F.col("set").alias("other"))
+        pairs = found.join(right, "b").join(left, "a").select("a", "b", "own", "other")  # no groups: a text that many lead to is split like any skewed join
+        return checkpoint(map_batches(pairs, verify, "a long, b long"))
+
+    def spread(b: pa.RecordBatch) -> pa.RecordBatch:
+        firsts = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+        n = [len(x) for x in firsts]
+        place = np.concatenate([np.arange(k) for k in n])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(place)], ["key", "node", "size", "place"])
+
+    links = verified(found)
+    components = checkpoint(connected_components(links))
+    places = map_batches(nodes.select("node", "size", "first"), spread, "key long, node long, size long, place long")
+    shared = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    places = checkpoint(places.join(shared, "key"))
+    for most in (FEW, None):  # the last pass takes every pair that is still apart
+        labelled = places.join(components, "node", "left").select("key", "node", "size", "place", F.coalesce("component", "node").alias("component"))
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        apart = checkpoint(labelled.join(mixed, "key").select(F.lit(0).alias("table"), "key", "node", "size", "place", "component"))
+        more = checkpoint(deal(apart, "node").mapInArrow(_apart(most), "a long, b long").distinct())
+        links = links.unionByName(verified(more))
+        components = checkpoint(connected_components(links))
     classes = nodes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return marked.select(F.col("id").alias(key), "digest").join(classes, "digest").select(key, "component_id")
