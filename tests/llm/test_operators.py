@@ -472,6 +472,17 @@ def test_mix_hits_its_targets(spark):
         assert abs(sum(o["taken"] for o in mine) - want) <= 30 and all(o["taken"] <= 3 * o["size"] for o in mine)
 
 
+def test_mix_lands_each_source_whatever_the_others_size(spark):
+    r = random.Random(11)
+    made = [(i, "a", r.randint(100, 900)) for i in range(1000)] + [(2000, "a", 60_000)]
+    made += [(10_000 + i, "b", r.randint(100, 900)) for i in range(9000)] + [(30_000, "b", 60_000), (30_001, "b", 40_000)]
+    got = {}
+    for o in rows(mixing.mix(spark.createDataFrame(made, "doc_id long, source string, size long"), (9, 10))):
+        off, target = got.get(o["source"], (0, 0))
+        got[o["source"]] = (off + o["taken"], o["target"])
+    assert all(abs(taken - target) <= 2 for taken, target in got.values()), got
+
+
 def test_flight_keeps_both_totals():
     r = random.Random(10)
     sizes, p = [float(r.randint(1, 900)) for _ in range(300)], [r.random() for _ in range(300)]

@@ -4,8 +4,9 @@ A source whose target is r times its size takes every document floor(r) times an
 more. These extra copies are drawn by the cube method: inclusion probabilities move through the null space of the
 constraints (the total of tokens and the number of documents), three documents at a time, until one becomes 0 or 1. The
 moves keep both totals exactly. The flight runs in blocks of documents of one source; at most two documents of a block
-stay fractional, and those of all blocks fly again, until one block is left. Its last two are the landing problem: they
-are rounded, and documents of that block changed, until the total of tokens is as near as it gets.
+stay fractional, and those of all blocks of a source fly again, until one block of it is left. Its last two are the
+landing problem: they are rounded, and documents of that block changed, until the total of tokens is as near as it gets.
+So that there are some to change, each block hands on some decided documents of all sizes.
 """
 
 from __future__ import annotations
@@ -104,15 +105,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit
     return totals.select("source", "source_size", "source_docs", "__n", F.least(F.col("weight") * level, F.col("source_size") * limit).alias("target"))
 
 
-def _fly(df: DataFrame, last: bool) -> DataFrame:
-    """One round: p moves within each (__n, __block)."""
+def _fly(df: DataFrame) -> DataFrame:
+    """One round: p moves within each (__n, __block). A source's only block lands; of others __keep marks what flies on: fractional rows, and decided ones evenly spaced by size."""
     names = [f.name for f in df.schema.fields]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "__h", "doc_id"], ascending=[False, True, True], kind="stable")  # the smallest come last and may stay
         sizes, start = pdf["size"].astype(float).tolist(), pdf["__p"].tolist()
         p = flight(sizes, start, int(pdf["__n"].iloc[0]) * 1_000_003 + int(pdf["__block"].iloc[0]) * 31 + len(start))
-        pdf["__p"] = land(sizes, p, start) if last else p
+        blocks = int(pdf["__blocks"].iloc[0])
+        pdf["__p"] = land(sizes, p, start) if blocks == 1 else p
+        decided = np.flatnonzero((pdf["__p"] == 0) | (pdf["__p"] == 1))
+        keep = np.full(len(pdf), blocks > 1)
+        keep[decided] = False
+        if blocks > 1 and len(decided):
+            keep[decided[np.linspace(len(decided) - 1, 0, min(len(decided), max(2, BLOCK // blocks))).astype(int)]] = True
+        pdf["__keep"] = keep
         return pdf[names]
 
     return df.groupBy("__n", "__block").applyInPandas(run, df.schema)
@@ -135,15 +143,14 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float = 3
     rows = rows.select(*keep)
     fractional = (F.col("__p") > EPS) & (F.col("__p") < 1 - EPS)
     done = [rows.where(~fractional)]
-    state = rows.where(fractional)
+    state = rows.where(fractional).withColumn("__keep", F.lit(False))
     blocks = (rows.agg(F.max("__blocks")).first() or [0])[0] or 0
     while blocks:
-        state = checkpoint(_fly(state, last=blocks == 1))
+        state = checkpoint(_fly(state))
+        done.append(state.where("not __keep").drop("__keep"))
         if blocks == 1:
-            done.append(state)
             break
-        done.append(state.where(~fractional))
-        state = state.where(fractional).withColumn("__blocks", F.ceil(F.col("__blocks") / (BLOCK // 2))).withColumn("__block", F.pmod("__block", F.col("__blocks")))
+        state = state.where("__keep").withColumn("__blocks", F.ceil(F.col("__blocks") / (BLOCK // 2))).withColumn("__block", F.pmod("__block", F.col("__blocks")))
         blocks = -(-blocks // (BLOCK // 2))
     out = done[0]
     for d in done[1:]:
