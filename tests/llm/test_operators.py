@@ -443,6 +443,15 @@ def test_secrets_against_brute_force(spark):
     assert rows(secret_scan.find_secrets(df.limit(0))) == []
 
 
+def test_a_value_of_one_owner_is_live_in_any_number_of_documents(spark):
+    mine, copied = "Zx9kQw3eRt5_yUi7oPa1sDf", "AKIA" + "Q7" * 8
+    made = [(i, f"mine {mine} {i}", "a") for i in range(200)] + [(1000 + i, f"copy {copied} {i}", f"s{i}") for i in range(3)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    out = rows(secret_scan.find_secrets(df))
+    assert all((o["n_live"], o["n_shared"]) == ((1, 0) if o["doc_id"] < 1000 else (0, 1)) for o in out) and all("generic" in o["spans"] for o in out if o["doc_id"] < 1000)
+    assert all((mine in c["text"], copied in c["text"]) == (False, c["doc_id"] >= 1000) for c in rows(secret_scan.redact_live(df)))
+
+
 # --- mixing
 
 

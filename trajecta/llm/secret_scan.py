@@ -80,20 +80,21 @@ def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def judge(hits: DataFrame, repository: str, owner: str, max_owners: int, max_repositories: int) -> DataFrame:
+def judge(hits: DataFrame, repository: str, owner: str, max_owners: int, max_repositories: int | None) -> DataFrame:
     """__text_key and __all: for each text with candidates, its spans (start, kind, stop, live) in order."""
     counts = ownership(hits, repository, owner)
-    live = counts.where((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("value", F.lit(True).alias("live"))
+    bounded = F.lit(True) if max_repositories is None else F.col("repositories") <= max_repositories
+    live = counts.where((F.col("owners") <= max_owners) & bounded).select("value", F.lit(True).alias("live"))
     per_text = hits.groupBy("__text_key").agg(F.first("__spans").alias("__spans"))  # equal texts have equal spans
     marked = per_text.select("__text_key", F.explode("__spans").alias("s")).select("__text_key", "s", F.col("s.value").alias("value")).join(live, "value", "left")
     return marked.groupBy("__text_key").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.stop", F.coalesce("live", F.lit(False)).alias("live")))).alias("__all"))
 
 
-def find_secrets(df: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repositories: int = 50) -> DataFrame:
+def find_secrets(df: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repositories: int | None = None) -> DataFrame:
     """df without its text, with n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared and live_spans.
 
-    live_spans (array of start, stop) are the spans of values that at most max_owners owners and max_repositories
-    repositories hold; n_live counts them, and n_shared the others, which are widely copied examples. spans holds the base
+    live_spans (array of start, stop) are the spans of values that at most max_owners owners hold, in however many of
+    their documents; max_repositories, if given, bounds these too. n_live counts them, and n_shared the others, which are widely copied examples. spans holds the base
     spans and the live generic ones. A null owner or repository counts as one of its own; null and empty texts have no
     spans (empty string, its digest). Rows that repeat get the same result. Input columns with the names of outputs are
     replaced.
@@ -127,7 +128,7 @@ def find_secrets(df: DataFrame, text: str = "text", repository: str = "doc_id",
     )
 
 
-def redact_live(df: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", mask: str = "[SECRET]", max_owners: int = 2, max_repositories: int = 50) -> DataFrame:
+def redact_live(df: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", mask: str = "[SECRET]", max_owners: int = 2, max_repositories: int | None = None) -> DataFrame:
     """df with the spans of live-looking values in its texts replaced by mask (touching spans by one); every row stays, examples too.
 
     Nulls stay null; rows without such spans are unchanged. n_chars, if there, follows the new text.
