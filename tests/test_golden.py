@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,3 +299,39 @@ def test_datasets(spark, tmp_path):
 def test_one_exchange_and_no_python(spark, df):
     plan = Extractor([P.SaccadeFeatures(), P.FixationFeatures(), P.SpectralEntropy()], R).transform(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Pandas" not in plan
+
+
+def brute_rips(points, max_radius):
+    n, d = len(points), np.linalg.norm(points[:, None] - points[None], axis=2)
+    cells = [(float(max([d[a, b] for a in s for b in s])), s) for k in (1, 2, 3) for s in itertools.combinations(range(n), k)]
+    cells = sorted([c for c in cells if c[0] <= max_radius], key=lambda c: (c[0], len(c[1]), c[1]))
+    place, low, paired, bars = {c[1]: i for i, c in enumerate(cells)}, {}, set(), []
+    for i, (r, s) in enumerate(cells):
+        column = {place[s[:k] + s[k + 1 :]] for k in range(len(s))} if len(s) > 1 else set()
+        while column and max(column) in low:
+            column ^= low[max(column)]
+        if column:
+            low[max(column)] = column
+            paired |= {max(column), i}
+            if r > cells[max(column)][0]:
+                bars.append((len(s) - 2, cells[max(column)][0], r))
+    return sorted(bars + [(len(s) - 1, r, math.inf) for i, (r, s) in enumerate(cells) if i not in paired and len(s) < 3])
+
+
+def test_rips_bars_of_whole_trajectories(spark):
+    r = np.random.default_rng(5)
+    circle = np.column_stack([np.cos(np.arange(20) * 0.3), np.sin(np.arange(20) * 0.3)])
+    for points, radius in ((r.random((24, 2)), 0.8), (r.random((24, 2)), 0.3), (np.rint(r.random((26, 2)) * 4) / 4, 0.6), (circle, 1.2), (circle, 3.0), (np.zeros((3, 2)), 1.0), (np.zeros((1, 2)), 1.0)):
+        assert kernels.rips_bars(points, radius) == brute_rips(points, radius)
+    ring = pd.DataFrame({"p": "a", "t": np.arange(90.0), "x": np.cos(np.arange(90) * 2 * math.pi / 90), "y": np.sin(np.arange(90) * 2 * math.pi / 90)})
+    bars = maps.rips_diagram(spark.createDataFrame(ring), Roles(pk=("p",), order=("t",), x="x", y="y", t="t"), 2.0).toPandas()
+    assert (bars.dim == 0).sum() == 90 and (bars.dim == 1).sum() == 1 and bars[bars.dim == 1].death.iloc[0] > 1.7
+
+
+def test_rips_query_takes_whole_trajectories(spark):
+    from trajecta.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    points = pd.read_parquet(f"{sf}/events.parquet").groupby("user_id").size()
+    got = QUERIES["rips_diagram"](spark, sf).where("dim = 0").groupBy("user_id").count().toPandas().set_index("user_id")["count"]
+    assert (points > 40).any() and (got > 14).any() and (got <= points.loc[got.index]).all()

@@ -163,11 +163,11 @@ def lower_star(df: DataFrame, roles: Roles, value: str) -> DataFrame:
     return df.dropna(subset=list(roles.pk)).select(*roles.pk, F.lit(0).alias("dim"), F.col(value).cast("double").alias("birth"), F.lit(None).cast("double").alias("death"))
 
 
-def rips_diagram(df: DataFrame, roles: Roles, max_radius: float = 1.0, max_points: int = 60) -> DataFrame:
-    """(pk, dim, birth, death) of the Vietoris-Rips filtration up to loops; longer trajectories are an error, as cost grows with the cube of their length."""
+def rips_diagram(df: DataFrame, roles: Roles, max_radius: float = 1.0, max_points: int | None = None) -> DataFrame:
+    """(pk, dim, birth, death) of the Vietoris-Rips filtration of whole trajectories up to loops; ones of more than max_points, if given, are an error. Memory grows with the square of their length."""
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_points:
+        if max_points is not None and len(pdf) > max_points:
             raise ValueError(f"{len(pdf)} points: more than {max_points}")
         out = pd.DataFrame(K.rips_bars(pdf[[roles.x, roles.y]].to_numpy(float), max_radius), columns=["dim", "birth", "death"]).astype({"dim": "int32"})
         out["death"] = out["death"].replace(np.inf, np.nan)

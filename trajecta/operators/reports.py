@@ -34,7 +34,7 @@ def override_normalization(fitted: DataFrame, key: str, column: str, mean: Mappi
     return out
 
 
-def topological_features(df: DataFrame, roles: Roles, max_radius: float = 1.0, max_time: float = 1.0, time_steps: int = 100, max_points: int = 60) -> DataFrame:
+def topological_features(df: DataFrame, roles: Roles, max_radius: float = 1.0, max_time: float = 1.0, time_steps: int = 100, max_points: int | None = None) -> DataFrame:
     """(pk, time, curve, entropy) of the bars of the Vietoris-Rips filtration. Bars without end, which would make every value infinite, are left out."""
     bars = rips_diagram(df, roles, max_radius, max_points)
     times = [max_time * k / max(1, time_steps - 1) for k in range(time_steps)]

@@ -201,7 +201,7 @@ select user_id, i::int as i, j::int as j, sum(exp(-((c*u*u - 2*b*u*v + a*v*v) /
 add("images", ["user_id", "channel", "h", "w"], ["total"], over_events(lambda df: maps.images(df, R, ("heatmap", "gaf", "mtf", "rqa"), (16, 16)).select("user_id", "channel", "h", "w", F.aggregate("data", F.lit(0.0), lambda a, b: a + b).alias("total"))), None, 4)
 add("lower_star", ["user_id", "dim"], ["birth", "death"], over_events(lambda df: maps.lower_star(df, R, "x")), f"with f as ({EVENTS_SQL}) select user_id, 0::int as dim, x as birth, null::double as death from f")
 add("persistence_curve", U, ["time", "value"], over_events(lambda df: maps.persistence_curve(df.select("user_id", F.col("x").alias("birth"), (F.col("x") + F.col("y")).alias("death")), U, (0.0, 0.25, 0.5, 0.75, 1.0))), f"with f as ({EVENTS_SQL}) select user_id, tm as time, coalesce(sum(case when x <= tm and tm < x + y then (x + y) - x end), 0) as value from f, (values (0.0::double), (0.25), (0.5), (0.75), (1.0)) v(tm) group by 1, 2")
-add("rips_diagram", ["user_id", "dim"], ["birth", "death"], over_events(lambda df: maps.rips_diagram(measures.numbered(df, R).where("seq < 14"), R, 0.8)), None, 6)
+add("rips_diagram", ["user_id", "dim"], ["birth", "death"], over_events(lambda df: maps.rips_diagram(df, R, 0.8)), None, 6)
 add("marks", ["user_id", "layer", "seq", "bin", "backward"], ["x0", "y0"], over_events(lambda df: maps.marks(df, R)), None)
 
 # --- expected paths and distances
