@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[^\\x20\\x09-\\x0D]+"
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +30,12 @@ def lower_ascii(c: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; only a session without one (tests) gets a temporary folder."""
+    """The checkpoint folder that the session names. Without one a local master gets a temporary folder; on a cluster that is an error, as executors share none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -39,24 +47,80 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As checkpoint, but compressed, as a Parquet table in the same folder: for rows that hold texts."""
+    """As checkpoint, but compressed, as a Parquet table in the same folder: for rows that hold texts, and where Spark should know the size."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply f to each Arrow batch."""
+def discard_written(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables that written() made after the first so many of this session; for callers that have stored their result."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    while len(_written) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield f(b)
 
+def written_so_far() -> int:
+    return len(_written)
+
+
+def free_memory() -> None:
+    """Give what a task has freed back to the system; Python workers are used again by other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def arrow_map(df: DataFrame, over: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with batches of about SLICE_BYTES, which the session keeps unless it has less: ten thousand texts at a time need too much memory on both sides."""
+    conf = df.sparkSession.conf
+    now = conf.get(BATCH_BYTES).rstrip("bB")
+    if not now.isdigit() or int(now) > SLICE_BYTES:
+        conf.set(BATCH_BYTES, str(SLICE_BYTES))
     return df.mapInArrow(over, schema)
 
 
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of b of at most SLICE_ROWS rows and, single rows apart, about SLICE_BYTES."""
+    rows = max(1, min(SLICE_ROWS, SLICE_BYTES * b.num_rows // max(1, b.nbytes)))
+    for a in range(0, b.num_rows, rows):
+        yield b.slice(a, rows)
+
+
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, after: Callable[[], None] | None = None) -> DataFrame:
+    """Apply f to each Arrow batch, part by part, so that what a worker holds is bounded; after runs at the end of each task."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in batches:
+                for part in slices(b):
+                    yield f(part)
+        finally:
+            if after:
+                after()
+            free_memory()
+
+    return arrow_map(df, over, schema)
+
+
 def with_outputs(df: DataFrame, names: list[str]) -> DataFrame:
     """df without the columns whose names an operator is about to write (any letter case): outputs replace them."""
     clash = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in clash])
+
+
+def shielded(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Operators name their own columns with two leading underscores; input columns that are named so step aside and come back."""
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        names = ["~" + c if c.startswith("__") else c for c in df.columns]
+        out = f(df.toDF(*names) if names != df.columns else df, *args, **kwargs)
+        back = [c[1:] if c.startswith("~__") else c for c in out.columns]
+        return out.toDF(*back) if back != out.columns else out
+
+    return run

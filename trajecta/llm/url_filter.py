@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajecta.llm.bloom import HIT, MAX_BYTES, block_and_masks, blocks_for, bloom_table
 from trajecta.llm.common import lower_ascii, with_outputs
 
 #: (verdict, host and path) of the production list.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-WORDS, BLOCK_BYTES = 4, 32
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -31,19 +31,7 @@ def rule_table(spark: SparkSession, rules: tuple[tuple[str, str], ...]) -> DataF
     return spark.createDataFrame([tuple(r) for r in rules], "verdict string, rule string")
 
 
-def _block_and_masks(key: Column, n_blocks: int) -> list[Column]:
-    h = F.xxhash64(key, F.lit(1))
-    masks = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(WORDS)]
-    return [F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("__block"), *[m.alias(f"__m{i}") for i, m in enumerate(masks)]]
-
-
-def bloom_table(keys: DataFrame, n_blocks: int) -> DataFrame:
-    """One row for each block in use: its four 64-bit words. keys: a column ``rule``."""
-    masked = keys.select(*_block_and_masks(F.col("rule"), n_blocks))
-    return masked.groupBy("__block").agg(*[F.bit_or(f"__m{i}").alias(f"__w{i}") for i in range(WORDS)])
-
-
-def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", bits_per_key: int = 16, max_filter_bytes: int = 1 << 20) -> DataFrame:
+def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", bits_per_key: int = 16, max_filter_bytes: int = MAX_BYTES) -> DataFrame:
     """df with host, path, rule and verdict.
 
     rules: verdict and rule (host and path in one string, host up to the first ``/``; hosts are lower-cased A-Z, null
@@ -62,7 +50,7 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
         .agg(F.max("verdict").alias("verdict"))
     )
     head = listed.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("__len")).alias("lens")).first()
-    n_blocks = max(1, min(-(-head["n"] * bits_per_key // (8 * BLOCK_BYTES)), max_filter_bytes // BLOCK_BYTES))
+    n_blocks = blocks_for(head["n"], bits_per_key, max_filter_bytes)
     host, path = host_and_path(F.col(url))
     judged = with_outputs(df.withColumns({"__host": host, "__path": path}), ["host", "path", "rule", "verdict"])
 
@@ -72,12 +60,13 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(lens, lambda n: n <= F.length("__path")), lambda n: F.substring(F.col("__path"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    probes = pairs.select("__host", "__path", F.explode(keys).alias("__key")).select("*", *_block_and_masks(F.col("__key"), n_blocks))
-    bits = bloom_table(listed, n_blocks)  # at most n_blocks rows of 40 bytes: max_filter_bytes bounds it
-    possible = probes.join(F.broadcast(bits), "__block").where(" and ".join(f"(__w{i} & __m{i}) = __m{i}" for i in range(WORDS))).select("__host", "__path", "__key")
+    probes = pairs.select("__host", "__path", F.explode(keys).alias("__key")).select("*", *block_and_masks([F.col("__key")], n_blocks))
+    bits = bloom_table(listed, ["rule"], n_blocks)  # at most n_blocks rows of 40 bytes: max_filter_bytes bounds it
+    possible = probes.join(F.broadcast(bits), "__block").where(HIT).select("__host", "__path", "__key")
     exact = possible.join(listed.select(F.col("rule").alias("__key"), "verdict"), "__key")
     best = exact.groupBy("__host", "__path").agg(F.min(F.struct((-F.length("__key")).alias("o"), F.col("__key").alias("rule"), F.col("verdict"))).alias("__best"))
-    out = judged.join(best, ["__host", "__path"], "left")
+    hostless = judged.where("__host = ''").withColumn("__best", F.lit(None).cast(best.schema["__best"].dataType))  # these fit no rule: they stay out of the join
+    out = judged.where("__host <> ''").join(best, ["__host", "__path"], "left").unionByName(hostless)
     kept = [F.col(c) for c in judged.columns if c not in ("__host", "__path")]
     return out.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
 
