@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import table
+from trajecta.llm.common import arrow_map, table
 
 CELLS, HASHES = 24, 3
 CHUNK_DOCS, CHUNK_CHARS = 256, 1 << 20
@@ -200,7 +200,7 @@ def compare_versions(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         if len(rows) > 1:
             yield emit(rows)
 
-    return with_next(df, key, text).mapInArrow(run, f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return arrow_map(with_next(df, key, text), run, f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op7_document_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:

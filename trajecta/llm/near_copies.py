@@ -1,271 +1,348 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash finds most links. Each text has SEEDS fingerprints of its set of words; the pivot distance tables of the
-module simhash deal each fingerprint out by the distances within two of its four parts. What meets is compared by all
-SEEDS x 64 bits, and every text passes on its nearest few, and of its next nearest those that join what is still apart.
-
-What this misses is found exactly. Shingles are put in one order for all texts, the most common ones last. Two sets with
-a similarity of 0.8 share a shingle among the first fifth of either; so all texts that share such a shingle are paired,
-unless verified links join them already or the sizes and places rule the similarity out. Each pair of either pass is
-verified on the two texts' sets of shingles. So no link is wrong, and the components are those of all links.
+Exact copies are merged first. Then operator 4's search (the module simhash: pivot distance tables, discarding by the
+largest difference of coordinates, verifying bits) runs over a 64-bit SimHash of each text's set of shingles and finds
+many links cheaply.
+
+What it misses is found exactly. Shingles are put in one order for all texts, the most common ones last. Two sets with
+a similarity of 0.8 share a shingle among the first fifth of either, so texts that share such a shingle and are not yet
+joined by verified links are compared. Each text has a profile: how many of its shingles fall into each of some buckets.
+The sum of differences of two profiles is at most the number of shingles that only one text holds (the same triangle
+inequality), so most pairs fall without their texts being read, and none that is similar does. What is left is verified
+on the two sets. First each text is held against its nearest and the first of those that share a shingle, then every
+pair that is still apart is verified. So no link is wrong, and the components are those of all links.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import checkpoint, map_batches
+from trajecta.llm.bloom import with_hit
+from trajecta.llm.common import arrow_map, checkpoint, free_memory, map_batches, shielded, slices, written
 from trajecta.llm.components import connected_components
-from trajecta.llm.simhash import deal, masks, table_keys
-
-SEEDS, PARTS, SAME, SHINGLE, SIMILAR = 6, 4, 2, 5, 0.8
-NEAR_BITS, NEAREST = 56, 4
-COMMON, MOST_COMMON = 8, 1 << 16  # a shingle is common if a task's texts hold it so often; so many are put last
-FEW = 2  # pairs of two components that a shared shingle passes on before all of them are
-
-
-def word_fingerprints(text: str) -> bytes:
-    """SEEDS SimHash fingerprints of the set of words (A-Z lower-cased); of an empty set zero."""
-    words = set(text.encode("utf-8", "surrogatepass").lower().split())
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
-    out = []
-    for seed in range(1, SEEDS + 1):
-        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * seed & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(29)
-        ones = np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(ones * 2 > len(h), bitorder="little").tobytes())
-    return b"".join(out)
-
-
-def shingles(text: str) -> np.ndarray:
-    """Sorted digests of the set of five-word shingles (of a shorter text, the whole sequence)."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    runs = zip(*[words[k:] for k in range(SHINGLE)], strict=False) if len(words) >= SHINGLE else [words]
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(r)) for r in runs], np.uint64))
-
-
-def common_shingles(df: DataFrame) -> np.ndarray:
+from trajecta.llm.shingling import shingle_sets, shingles
+from trajecta.llm.simhash import BLOCK, links
+
+__all__ = ["copy_classes", "keep_one", "near_copies", "shingles"]
+
+SIMILAR = 0.8
+LEAST_BUCKETS, MOST_BUCKETS, FULL = 16, 1024, 15  # of a profile; what a bucket counts at most
+COMMON, MOST_COMMON, COUNTED = 8, 1 << 16, 1 << 20  # a shingle is common if a task's texts hold it so often; so many are put last; a task counts so many
+PAIRS = 1 << 18  # that are looked at together (of those, cells of profiles)
+FEW_KEYS = 3  # shared shingles of a text that are looked at before all are
+
+
+def set_fingerprint(found: np.ndarray) -> int:
+    """64 bits: 1 where more than half of the set's digests have a 1; as a signed number."""
+    ones = np.unpackbits(found.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(ones * 2 > len(found), bitorder="little").tobytes(), "little", signed=True)
+
+
+def profile(found: np.ndarray) -> bytes:
+    """How many of the set fall into each bucket, at most FULL, two to a byte. There is a bucket for every two to four, within bounds."""
+    n = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, int(np.ceil(np.log2(len(found) / 4))))))
+    count = np.minimum(np.bincount((found & np.uint64(n - 1)).astype(np.int64), minlength=n), FULL).astype(np.uint8)
+    return (count[0::2] | count[1::2] << 4).tobytes()
+
+
+class Profiles:
+    """Profiles of several texts, and the sums of differences between them; those of one have half or twice the buckets of those that are similar, or as many."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        self.level = np.array([2 * len(x) for x in packed])
+        self.at, self.rows, self.folded = np.zeros(len(packed), np.int64), {}, {}
+        for n in np.unique(self.level).tolist():
+            here = np.flatnonzero(self.level == n)
+            self.at[here] = np.arange(len(here))
+            raw = np.frombuffer(b"".join(packed[i] for i in here), np.uint8).reshape(len(here), n // 2)
+            rows = np.stack([raw & 15, raw >> 4], axis=2).reshape(len(here), n).astype(np.int16)
+            self.rows[n], self.folded[n // 2] = rows, np.minimum(rows.reshape(len(here), 2, n // 2).sum(axis=1), FULL)
+
+    def differences(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For each pair (i, j) the sum of differences, on the fewer buckets of both."""
+        out, low, high = np.empty(len(i), np.int32), np.minimum(self.level[i], self.level[j]), np.maximum(self.level[i], self.level[j])
+        for n in np.unique(low).tolist():
+            for wider in (False, True):
+                here = np.flatnonzero((low == n) & ((high > n) == wider))
+                for s in range(0, len(here), PAIRS // n):
+                    h = here[s : s + PAIRS // n]
+                    small, large = np.where(self.level[i[h]] == n, i[h], j[h]), np.where(self.level[i[h]] == n, j[h], i[h])
+                    other = self.folded[n] if wider else self.rows[n]
+                    out[h] = np.abs(self.rows[n][self.at[small]] - other[self.at[large]]).sum(axis=1, dtype=np.int32)
+        return out
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
     """Digests of the MOST_COMMON most common shingles of the texts (the only column), the rarest first.
 
     Tasks name those they see COMMON times. Which are found sets the cost of the prefixes, and nothing else.
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, count, held = np.empty(0, np.uint64), np.empty(0, np.int64), [np.empty(0, np.uint64)]
+        seen, count, held, size = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
 
         def merge() -> None:
-            nonlocal seen, count
-            new, n = np.unique(np.concatenate(held), return_counts=True)
-            both, where = np.unique(np.concatenate([seen, new]), return_inverse=True)
-            count = np.bincount(where, np.concatenate([count, n]), len(both)).astype(np.int64)
-            seen, held[:] = both, [np.empty(0, np.uint64)]
-            if len(seen) > 1 << 22:  # single ones go, so that a task's memory stays bounded
-                seen, count = seen[count > 1], count[count > 1]
+            nonlocal seen, count, size
+            new, n = np.unique(np.concatenate(held), return_counts=True) if held else (seen[:0], count[:0])
+            at = np.searchsorted(seen, new)
+            old = np.zeros(len(new), bool)
+            old[at < len(seen)] = seen[at[at < len(seen)]] == new[at < len(seen)]
+            count[at[old]] += n[old]
+            seen, count = np.insert(seen, at[~old], new[~old]), np.insert(count, at[~old], n[~old])
+            held.clear()
+            size, least = 0, 1
+            while len(seen) > COUNTED:  # the rarest go, so that a task's memory stays bounded
+                seen, count = seen[count > least], count[count > least]
+                least += 1
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.append(shingles(t or ""))
-                if len(held) > 2048:
-                    merge()
+            for part in slices(b):
+                for found in shingle_sets(part.column(0).to_pylist()):
+                    held.append(found)
+                    size += len(found)
+                    if size > COUNTED // 2:
+                        merge()
         merge()
         often = count >= COMMON
         yield pa.RecordBatch.from_arrays([pa.array(seen[often].view(np.int64)), pa.array(count[often])], ["key", "n"])
+        free_memory()
 
-    total = df.mapInArrow(over, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    total = arrow_map(texts, over, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     top = total.orderBy(F.col("n").desc(), "key").limit(MOST_COMMON).collect()
     return np.array([r["key"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Of a sorted set of shingles those of which a set with similarity SIMILAR holds one: uncommon ones first, by digest, then common ones by rank (common is sorted)."""
+def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray, maybe: np.ndarray) -> np.ndarray:
+    """Of a sorted set of shingles those of which a set with similarity SIMILAR holds one: uncommon ones first, by digest, then common ones by rank. common is sorted; maybe is a bitmap of its last bits."""
     n = len(found) - int(np.ceil(SIMILAR * len(found) - 1e-9)) + 1
-    if not len(common):
+    known = maybe[found & np.uint64(len(maybe) - 1)]
+    some = np.flatnonzero(known)
+    if not len(some):
         return found[:n]
-    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-    known = common[at] == found
-    late = found[known][np.argsort(rank[at[known]])]
+    at = np.minimum(np.searchsorted(common, found[some]), len(common) - 1)
+    real = common[at] == found[some]
+    known[some[~real]] = False
+    late = found[some[real]][np.argsort(rank[at[real]])]
     return np.concatenate([found[~known], late])[:n]
 
 
-def _pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """For each of left its NEAREST of right within NEAR_BITS, and of its next 3 x NEAREST those that join parts still apart."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    loose: list[tuple[int, int, int]] = []
-    for i in left:
-        others = right[right != i] if left is right else right
-        bits = np.bitwise_count(fp[others] ^ fp[i]).sum(axis=1, dtype=np.int32)
-        near = np.flatnonzero(bits <= NEAR_BITS)
-        near = near[np.argsort(bits[near], kind="stable")]
-        for r, j in enumerate(others[near]):
-            if r < NEAREST:
-                yield int(i), int(j)
-                a, b = find(int(i)), find(int(j))
-                root[max(a, b)] = min(a, b)
-            else:
-                loose += [(int(bits[near[x]]), int(i), int(others[near[x]])) for x in range(r, min(len(near), 4 * NEAREST))]
-                break
-    for _, i, j in sorted(loose):
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            yield i, j
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted rows (table, key, i, j, side, node, fps) the candidate pairs of each (table, key, i, j)."""
-
-    def emit(rows: list[tuple]) -> pa.RecordBatch | None:
-        if len(rows) < 2:
+def _apart(few: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From sorted rows (key, i, j, side, node, size, place, component, profile) the pairs (a, b) of different components that can be similar: all, or (few) of each text those with its nearest and with the first of all."""
+
+    def near(rows: np.ndarray, i: np.ndarray, j: np.ndarray, profiles: Profiles, lead: np.ndarray) -> pa.RecordBatch | None:
+        """Of the pairs (i, j) of rows those that can be similar. lead: whether a row has its group's smallest node."""
+        node, size, component, rest = rows[:, 4], rows[:, 5], rows[:, 7], rows[:, 5] - rows[:, 6]  # rest: shingles from the shared one on
+        both = size[i] + size[j]
+        only = both * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6  # so many shingles at most are in one set only
+        fine = (component[i] != component[j]) & (np.minimum(rest[i], rest[j]) * 2 >= both - only)
+        i, j, only = i[fine], j[fine], only[fine]
+        differ = profiles.differences(i, j)
+        fine = differ <= only
+        i, j, differ = i[fine], j[fine], differ[fine]
+        if few and len(i):
+            of, it = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)  # each pair counts for both of its texts
+            order = np.lexsort((np.tile(differ, 2), of))
+            nearest = it[order][np.concatenate(([True], of[order][1:] != of[order][:-1]))]
+            keep = np.unique(np.concatenate([nearest, np.flatnonzero(lead[i] | lead[j])]))
+            i, j = i[keep], j[keep]
+        if not len(i):
             return None
-        node = np.array([r[5] for r in rows], np.int64)
-        fp = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), SEEDS)
-        at, side = np.arange(len(rows)), np.array([r[4] for r in rows])
-        left, right = (at, at) if rows[0][2] == rows[0][3] else (at[side == 0], at[side == 1])
-        found = {(min(node[i], node[j]), max(node[i], node[j])) for i, j in _pairs(fp, left, right) if node[i] != node[j]}
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"]) if found else None
-
-    rows: list[tuple] = []
-    for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if rows and rows[-1][:4] != row[:4]:
-                if (out := emit(rows)) is not None:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+    def pairs(rows: np.ndarray, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """rows of whole groups."""
+        start = np.concatenate(([0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1))
+        size = np.diff(np.concatenate((start, [len(rows)])))
+        group = np.repeat(np.arange(len(start)), size)
+        lead = rows[:, 4] == np.minimum.reduceat(rows[:, 4], start)[group]
+        profiles = Profiles(packed)
+        if len(start) == 1 and (rows[0, 1] != rows[0, 2] or len(rows) ** 2 > 2 * PAIRS):
+            same = rows[0, 1] == rows[0, 2]
+            left, right = (np.arange(len(rows)),) * 2 if same else (np.flatnonzero(rows[:, 3] == 0), np.flatnonzero(rows[:, 3] == 1))
+            for s in range(0, len(left), step := max(1, PAIRS // max(1, len(right)))):
+                i, j = np.repeat(left[s : s + step], len(right)), np.tile(right, len(left[s : s + step]))
+                if same:
+                    i, j = i[j > i], j[j > i]
+                if (out := near(rows, i, j, profiles, lead)) is not None:
                     yield out
-                rows = []
-            rows.append(row)
-    if (out := emit(rows)) is not None:
-        yield out
-
-
-def _apart(most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From sorted rows (table, key, i, j, side, node, size, place, component) the pairs of different components that can be similar; at most so many of two components, or all."""
-
-    def emit(parts: list[np.ndarray]) -> pa.RecordBatch | None:
-        rows = np.concatenate(parts)
-        node, size, place, component = rows[:, 5], rows[:, 6], rows[:, 7], rows[:, 8]
-        same = rows[0, 2] == rows[0, 3]
-        left, right = (np.arange(len(rows)),) * 2 if same else (np.flatnonzero(rows[:, 4] == 0), np.flatnonzero(rows[:, 4] == 1))
-        out, passed = [], Counter()
-        for i in left:
-            r = right[right > i] if same else right
-            r = r[component[r] != component[i]]
-            r = r[np.minimum(size[r] - place[r], size[i] - place[i]) >= SIMILAR / (1 + SIMILAR) * (size[r] + size[i]) - 1e-6]
-            if most is not None:
-                kept = []
-                for j in r:
-                    two = (min(component[i], component[j]), max(component[i], component[j]))
-                    if passed[two] < most:
-                        passed[two] += 1
-                        kept.append(j)
-                r = np.array(kept, np.int64)
-            if len(r):
-                out.append(np.stack([np.minimum(node[r], node[i]), np.maximum(node[r], node[i])]))
-        if not out:
-            return None
-        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return
+        after = np.repeat(start + size, size) - np.arange(len(rows)) - 1  # rows of its group behind each row
+        i = np.repeat(np.arange(len(rows)), after)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+        if (out := near(rows, i, j, profiles, lead)) is not None:
+            yield out
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, list[bytes]]] = []  # whole groups
+        last: list[tuple[np.ndarray, list[bytes]]] = []  # the rows of the last group so far
+        count = 0  # pairs of the whole groups
+
+        def emit(parts: list[tuple[np.ndarray, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+            if parts:
+                yield from pairs(np.concatenate([h[0] for h in parts]), [x for h in parts for x in h[1]])
+            parts.clear()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """The last group is whole."""
+            nonlocal count
+            n = sum(len(h[0]) for h in last)
+            if n and (last[0][0][0, 1] != last[0][0][0, 2] or n * n > PAIRS):
+                yield from emit(last)
+            elif n > 1 and len({c for h in last for c in h[0][:, 7].tolist()}) > 1:
+                held.extend(last)
+                count += n * n // 2
+            last.clear()
+            if count > PAIRS:
+                yield from emit(held)
+                count = 0
+
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            if not len(rows):
-                continue
-            cut = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
-            for part in np.split(rows, cut):
-                if held and (held[-1][0, :4] != part[0, :4]).any():
-                    if (out := emit(held)) is not None:
-                        yield out
-                    held = []
-                held.append(part)
-        if held and (out := emit(held)) is not None:
-            yield out
+            for part in slices(batch):
+                rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in part.columns[:-1]], axis=1)
+                packed = part.column(8).to_pylist()
+                cut = np.concatenate(([0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1, [len(rows)]))
+                for s, e in zip(cut[:-1], cut[1:], strict=True):
+                    if last and (last[-1][0][0, :3] != rows[s, :3]).any():
+                        yield from close()
+                    last.append((rows[s:e], packed[s:e]))
+        yield from close()
+        yield from emit(held)
+        free_memory()
 
     return over
 
 
-def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component_id) for each key: the smallest key that exact copies and similar texts lead to, the row's own included.
+def in_groups(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows (key, node, ...) as (key, i, j, side, node, ...), sorted, each key's in one task; the rows of a key in hot (key, n) as pairs (i, j) of blocks."""
+    chunks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
+    met = rows.join(hot, "key", "left").withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("c")).alias("i"), F.greatest(k, F.col("c")).alias("j"), (k < F.col("c")).cast("int").alias("side")))
+    dealt = met.withColumn("p", F.explode(pairs)).select("key", "p.i", "p.j", "p.side", *[c for c in rows.columns if c != "key"])
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    Null texts count as empty; empty texts are copies of each other. Rows with a null key are left out. Of rows that
-    repeat a key, each text links.
-    """
 
-    source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    ordered = common_shingles(source.select("text"))
+def text_digest(text: str) -> list[Column]:
+    """Two 64-bit digests of a text, null counting as empty."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(t).alias("d1"), F.xxhash64(F.lit(5), t).alias("d2")]
+
+
+def similar(found: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """The pairs (a, b) of found whose sets are similar. Only texts that occur in a pair are shuffled; sets are compared within the JVM, row by row."""
+    wanted = written(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "d1", "d2"), "node"))
+    count = wanted.count()
+    if not count:
+        return found
+    probed = with_hit(source.select("text", *text_digest("text")), ["d1", "d2"], wanted.select("d1", "d2"), count).where("__hit")
+    texts = probed.join(wanted, ["d1", "d2"]).groupBy("node").agg(F.first("text").alias("text"))
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = list(shingle_sets(b.column(1).to_pylist()))
+        ends = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "set"])
+
+    sets = checkpoint(map_batches(texts, cut, "node long, set array<long>"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("own")), sets.select(F.col("node").alias("b"), F.col("set").alias("other"))
+    both = F.size(F.array_intersect("own", "other"))
+    pairs = found.join(right, "b").join(left, "a")  # no groups: a text that many lead to is split like any skewed join
+    return checkpoint(pairs.where(both >= SIMILAR * (F.size("own") + F.size("other") - both) - 1e-9).select("a", "b"))
+
+
+def without_copies(marked: DataFrame) -> DataFrame:
+    """marked's rows (node, d1, d2, ...), of equal digests only the one with the smallest node. Only narrow rows are grouped, and only rows that may go are shuffled whole."""
+    least = marked.groupBy("d1", "d2").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "least")
+    extra = written(marked.select("node", "d1", "d2").join(least, ["d1", "d2"]).where("node <> least").select("node"))
+    probed = with_hit(marked, ["node"], extra, extra.count())
+    return probed.where("not __hit").drop("__hit").unionByName(probed.where("__hit").join(extra, "node", "left_anti").drop("__hit"))
+
+
+def copy_classes(df: DataFrame, text: str = "text") -> DataFrame:
+    """(d1, d2, component): for the digests of each distinct text the number of its class of exact copies and similar texts."""
+    source = df.select(F.col(text).alias("text"))
+    ordered = common_shingles(source)
     rank = np.argsort(ordered)
-    common = ordered[rank]
+    common, maybe = ordered[rank], np.zeros(1 << 20, bool)
+    maybe[common & np.uint64(len(maybe) - 1)] = True
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in b.column(1).to_pylist()]
-        digest = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
-        sets = [shingles(t) for t in texts]
-        first = [prefix(x, common, rank).tobytes() for x in sets]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array([word_fingerprints(t) for t in texts], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.binary())], ["id", "digest", "fps", "size", "first"])
-
-    marked = checkpoint(map_batches(source, run, "id long, digest binary, fps binary, size long, first binary"))
-    nodes = checkpoint(marked.groupBy("digest").agg(F.min("id").alias("node"), F.first(F.struct("fps", "size", "first")).alias("s")).select("digest", "node", "s.*"))
-
-    def tables(b: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, SEEDS)
-        keys = np.concatenate([table_keys(np.ascontiguousarray(fp[:, s]), masks(PARTS, SAME)) for s in range(SEEDS)])
-        number = np.repeat(np.arange(len(keys), dtype=np.int32), len(fp))
-        return pa.RecordBatch.from_arrays([pa.array(number), pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(b.column(0).to_numpy(), len(keys)))], ["table", "key", "node"])
-
-    def verify(b: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for own, other in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= SIMILAR * (len(x) + len(y) - both) - 1e-9)
-        return b.select(["a", "b"]).filter(pa.array(keep))
-
-    rows = checkpoint(map_batches(nodes.select("node", "fps"), tables, "table int, key long, node long"))
-    sizes = rows.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    met = rows.join(sizes, ["table", "key"]).join(nodes.select("node", "fps"), "node").select("table", "key", "node", "fps")
-    found = checkpoint(deal(met, "node").mapInArrow(_candidates, "a long, b long").distinct())
+        sets = list(shingle_sets(b.column(0).to_pylist()))
+        first = [prefix(x, common, rank, maybe) for x in sets]
+        ends = np.cumsum([0] + [len(x) for x in first], dtype=np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64)))
+        own = [pa.array([len(x) for x in sets], pa.int32()), pa.array([set_fingerprint(x) for x in sets], pa.int64()), pa.array([profile(x) for x in sets], pa.binary()), keys]
+        return pa.RecordBatch.from_arrays([b.column(1), b.column(2), *own], ["d1", "d2", "size", "fp", "profile", "first"])
+
+    marked = map_batches(source.select("text", *text_digest("text")), run, "d1 long, d2 long, size int, fp long, profile binary, first array<long>")
+    nodes = without_copies(checkpoint(marked.withColumn("node", F.monotonically_increasing_id())))
+
+    fps = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    met = links(fps.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    ends = fps.select(F.col("fp").alias("fa"), F.col("node").alias("a")), fps.select(F.col("fp").alias("fb"), F.col("node").alias("b"))
+    equal = nodes.select("fp", F.col("node").alias("b")).join(fps.select("fp", F.col("node").alias("a")), "fp").where("a <> b").select("a", "b")
+    met = checkpoint(met.join(ends[0], "fa").join(ends[1], "fb").select("a", "b").unionByName(equal))
+    found = similar(met, nodes, source)
+    components = checkpoint(connected_components(found))
+
+    places = nodes.select("node", F.posexplode("first").alias("place", "key"))
+    counts = checkpoint(places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = written(counts.where(F.col("n") > BLOCK))
+    shared = with_hit(places, ["key"], counts.select("key"), counts.count(), 1 << 22).where("__hit").join(counts.select("key"), "key")
+    shared = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("shared"))  # no longer than the text's prefix
+    kept = checkpoint(shared.join(nodes.select("node", "size", "profile"), "node"))
+    for few in (True, False):  # the last pass takes every pair that is still apart
+        labelled = kept.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        some = F.slice("shared", 1, FEW_KEYS) if few else F.col("shared")
+        rows = labelled.withColumn("s", F.explode(some)).select("s.key", "node", "size", "s.place", "component", "profile")
+        more = checkpoint(arrow_map(in_groups(rows, hot), _apart(few), "a long, b long").distinct())
+        found = found.unionByName(similar(more, nodes, source))
+        components = checkpoint(connected_components(found))
+    return nodes.select("node", "d1", "d2").join(components, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
 
-    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t or "").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
-
-    def verified(found: DataFrame) -> DataFrame:
-        wanted = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-        texts = source.join(wanted, source["id"] == wanted["node"]).select("node", "text").dropDuplicates(["node", "text"])
-        sets = checkpoint(map_batches(texts, cut, "node long, set binary"))
-        left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("own")), sets.select(F.col("node").alias("b"), F.col("set").alias("other"))
-        pairs = found.join(right, "b").join(left, "a").select("a", "b", "own", "other")  # no groups: a text that many lead to is split like any skewed join
-        return checkpoint(map_batches(pairs, verify, "a long, b long"))
-
-    def spread(b: pa.RecordBatch) -> pa.RecordBatch:
-        firsts = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
-        n = [len(x) for x in firsts]
-        place = np.concatenate([np.arange(k) for k in n])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(place)], ["key", "node", "size", "place"])
-
-    links = verified(found)
-    components = checkpoint(connected_components(links))
-    places = map_batches(nodes.select("node", "size", "first"), spread, "key long, node long, size long, place long")
-    shared = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    places = checkpoint(places.join(shared, "key"))
-    for most in (FEW, None):  # the last pass takes every pair that is still apart
-        labelled = places.join(components, "node", "left").select("key", "node", "size", "place", F.coalesce("component", "node").alias("component"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        apart = checkpoint(labelled.join(mixed, "key").select(F.lit(0).alias("table"), "key", "node", "size", "place", "component"))
-        more = checkpoint(deal(apart, "node").mapInArrow(_apart(most), "a long, b long").distinct())
-        links = links.unionByName(verified(more))
-        components = checkpoint(connected_components(links))
-    classes = nodes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return marked.select(F.col("id").alias(key), "digest").join(classes, "digest").select(key, "component_id")
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component_id) for each row: the smallest key that exact copies and similar texts lead to, the row's own included.
+
+    Null texts count as empty; empty texts are copies of each other. Rows with a null key are left out. Rows that repeat a
+    key each count with their own text. Texts are taken whole, however long. An empty table gives an empty result; other
+    columns are left out.
+    """
+    df = df.where(F.col(key).isNotNull())
+    rows = df.select(F.col(key).alias("id"), *text_digest(text))
+    named = rows.join(checkpoint(copy_classes(df, text)), ["d1", "d2"])
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    return named.join(least, "component").select(F.col("id").alias(key), "component_id")
+
+
+@shielded
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class: that with the smallest key (null last), of equal keys the one whose text has the smaller digest; of rows that agree in both, one.
+
+    Most rows stay; those that may go are found by a Bloom filter, and only they are shuffled. All columns are kept.
+    """
+    classes = checkpoint(copy_classes(df, text))
+    each = df.select(F.col(key).alias("id"), *text_digest(text)).groupBy("id", "d1", "d2").agg(F.count("*").alias("n"))
+    named = checkpoint(each.join(classes, ["d1", "d2"]))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("d1").alias("d1"), F.col("d2").alias("d2"))
+    best = named.groupBy("component").agg(F.min(order).alias("best")).select("component", F.col("best.id").alias("bid"), F.col("best.d1").alias("b1"), F.col("best.d2").alias("b2"))
+    stays = F.col("id").eqNullSafe(F.col("bid")) & (F.col("d1") == F.col("b1")) & (F.col("d2") == F.col("b2"))
+    judged = named.join(best, "component").withColumn("stays", stays).select(F.col("id").alias("__id"), F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), "stays", "n")
+    rows = df.withColumns(dict(zip(("__d1", "__d2"), text_digest(text), strict=True)))
+    out = rows
+    for doubtful, stay in ((written(judged.where("not stays")), False), (written(judged.where("stays and n > 1")), True)):
+        count = doubtful.count()
+        if not count:
+            continue
+        probed = with_hit(out, ["__d1", "__d2"], doubtful.select("__d1", "__d2"), count)
+        unsure = probed.where("__hit").drop("__hit")
+        if stay:
+            unsure = unsure.dropDuplicates([key, "__d1", "__d2"])
+        else:
+            gone = doubtful.select("__id", F.col("__d1").alias("__g1"), F.col("__d2").alias("__g2"))
+            unsure = unsure.join(gone, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__d1") == F.col("__g1")) & (F.col("__d2") == F.col("__g2")), "left_anti")
+        out = probed.where("not __hit").drop("__hit").unionByName(unsure)
+    return out.select(*df.columns)

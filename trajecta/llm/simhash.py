@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import checkpoint, map_batches, table, with_outputs
+from trajecta.llm.common import arrow_map, checkpoint, map_batches, table, with_outputs
 from trajecta.llm.components import connected_components
 
 SEED, SHINGLE, LINK, PARTS = 42, 3, 3, 5
@@ -164,7 +164,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints fp that connect just what links of at most 3 bits connect."""
-    return deal(checkpoint(table_rows(fps)), "fp").mapInArrow(_links, "a long, b long")
+    return arrow_map(deal(checkpoint(table_rows(fps)), "fp"), _links, "a long, b long")
 
 
 def deal(rows: DataFrame, item: str) -> DataFrame:
