@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trajecta.llm.common import map_batches, table, with_outputs
 
 MARK = "▁"
-MEMO = 150_000
+MEMO, FITS = 40_000, 60_000  # segments in each of two generations, and pairs of tokens; a task's end empties both
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~'"
 NEVER = float("-inf")
 
@@ -121,7 +121,7 @@ class PieceBPE:
         if (known := self.fits.get(key)) is not None:
             return known
         traces = self.traces
-        if len(self.fits) >= MEMO:
+        if len(self.fits) >= FITS:
             self.fits.clear()
             traces.clear()
         _, left, _, edge_a = traces.get(a) or traces.setdefault(a, self.trace(a))
@@ -222,6 +222,10 @@ class PieceBPE:
             self.memo[s] = got
         return got
 
+    def forget(self) -> None:
+        for known in (self.memo, self.older, self.fits, self.traces):
+            known.clear()
+
     def _segments(self, text: str) -> list[tuple[int, str, str]]:
         if not text:
             return []
@@ -280,7 +284,10 @@ def encode_pieces(df: DataFrame, proto: bytes, text: str = "text", digests: bool
         new += [pa.array([r[k] for r in rows], pa.string() if digests or k == 2 else pa.list_(pa.int32())) for k in (1, 2)]
         return pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [f.name for f in fields] + names)
 
-    return map_batches(kept, run, schema)
+    def forget() -> None:
+        model_of(proto).forget()
+
+    return map_batches(kept, run, schema, forget)
 
 
 def default_model_path() -> str:
