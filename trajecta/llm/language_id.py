@@ -7,6 +7,7 @@ training texts. A document gets the language whose prototype has the largest cos
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import map_batches, table, with_outputs
+from trajecta.llm.common import arrow_map, map_batches, table, with_outputs
 
 DIM, GRAM, UND = 1024, 3, "und"
 CHUNK_CHARS, CHUNK_DOCS, GRAM_BLOCK = 1 << 18, 64, 2048
@@ -102,6 +103,11 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norm > 0, norm, 1)
 
 
+def chance(n_languages: int, alpha: float = 1e-2) -> float:
+    """The cosine that the nearest of so many prototypes exceeds by chance with probability alpha at most (each is about normal, with deviation DIM ** -0.5)."""
+    return math.sqrt(2 * math.log(max(1, n_languages) / alpha) / DIM)
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text mod 5 is 0; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -131,7 +137,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "do
         used = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(used, DIM).astype(np.int32)), pa.array(np.tile(np.arange(DIM, dtype=np.int32), len(used))), pa.array(sums[used].ravel())], ["number", "at", "v"])
 
-    cells = picked.mapInArrow(bundle, "number int, at int, v long").groupBy("number", "at").agg(F.sum("v").alias("v")).collect()  # languages x DIM
+    cells = arrow_map(picked, bundle, "number int, at int, v long").groupBy("number", "at").agg(F.sum("v").alias("v")).collect()  # languages x DIM
     prototypes = np.zeros((len(names), DIM))
     for number, at, v in cells:
         prototypes[number, at] = v

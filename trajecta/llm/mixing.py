@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import WORD, checkpoint, table, with_outputs
+from trajecta.llm.common import WORD, checkpoint, shielded, table, with_outputs
 
 BLOCK = 4096
 EPS = 1e-9
@@ -50,26 +50,34 @@ def flight(sizes: list[float], p: list[float], seed: int) -> list[float]:
 
 
 def land(sizes: list[float], p: list[float], start: list[float]) -> list[float]:
-    """Round what is fractional (at most two entries) so that the total of size moves least from that of the start; of equal ways the one nearest in number, then the first.
+    """Round what is fractional (at most two entries) so that the number of documents moves by less than one from that of the start, and the total of size least; of equal ways the first.
 
-    A large document may be among the last. While the total is off, the decided document of the block whose change brings
-    it nearest is changed too.
+    A large document may be among the last. While the total is off, the two decided documents whose exchange (one in, one
+    out) brings it nearest change places: the number of documents stays.
     """
-    p, wanted = np.array(p, float), float(np.dot(start, sizes))
-    s = np.array(sizes, float)
+    p, s = np.array(p, float), np.array(sizes, float)
+    wanted = float(np.dot(start, s))
     rest = [i for i in range(len(p)) if 0 < p[i] < 1]
     if rest:
         fixed, number = float(np.dot(np.where((p > 0) & (p < 1), 0, p), s)), float(p[rest].sum())
-        best = min(range(1 << len(rest)), key=lambda m: (abs(wanted - fixed - sum(s[i] for b, i in enumerate(rest) if m >> b & 1)), abs(number - m.bit_count()), m))
+        ways = [m for m in range(1 << len(rest)) if abs(number - m.bit_count()) < 1 - EPS]
+        best = min(ways, key=lambda m: (abs(wanted - fixed - sum(s[i] for b, i in enumerate(rest) if m >> b & 1)), abs(number - m.bit_count()), m))
         for b, i in enumerate(rest):
             p[i] = best >> b & 1
     off = float(np.dot(p, s)) - wanted
-    while len(p):
-        change = np.where(p == 1, -s, s)
-        i = int(np.abs(off + change).argmin())
-        if abs(off + change[i]) >= abs(off) - 0.5:
+    while abs(off) > 0.5:
+        out, into = np.flatnonzero(p == 0), np.flatnonzero(p == 1)
+        if not len(out) or not len(into):
             break
-        p[i], off = 1 - p[i], off + change[i]
+        out = out[np.argsort(s[out], kind="stable")]
+        at = np.searchsorted(s[out], s[into] - off)  # the document to take in so that the total comes near
+        at = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(out) - 1)])
+        left = np.abs(off + s[out[at]] - s[into])
+        k, i = np.unravel_index(int(left.argmin()), left.shape)
+        if left[k, i] >= abs(off) - 0.5:
+            break
+        p[into[i]], p[out[at[k, i]]] = 0, 1
+        off += s[out[at[k, i]]] - s[into[i]]
     return p.tolist()
 
 
@@ -159,6 +167,25 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float = 3
     return out.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+@shielded
+def take(df: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
+    """df's rows as often as the mix of their sizes in words says: rows repeat, or go.
+
+    A row is known by the digests of all its columns, so null and repeated ids do no harm; rows that agree in all columns
+    are interchangeable. Null texts have size 0, null sources are a source. An empty table gives an empty result.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    digest = F.concat_ws(":", F.xxhash64(row), F.xxhash64(F.lit(11), row))
+    sizes = checkpoint(df.select(digest.alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")))
+    copies = mix(sizes, weights, limit).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("n")).where("__copies > 0")
+    copies = checkpoint(copies.select(F.col("doc_id").alias("__row"), "__copies", "n"))
+    rows = df.withColumn("__row", digest)
+    if copies.where("n > 1").limit(1).count():  # rows that repeat are taken once for all of them
+        rows = rows.dropDuplicates(["__row"])
+    taken = rows.join(copies, "__row")
+    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[f"`{c}`" for c in df.columns])
+
+
 def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
