@@ -1,6 +1,8 @@
 """A corpus pipeline of training-data operators: language ID, near-duplicates, secrets, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+Null and empty texts, repeated rows, null and repeated ids, further columns and empty tables are served by every stage as
+its docstring says.
 """
 
 from __future__ import annotations
@@ -12,22 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.llm import language_id, mixing, near_copies, secret_scan, sentencepiece_bpe
-from trajecta.llm.common import checkpoint, shared_folder
+from trajecta.llm.common import discard_written, shared_folder, written_so_far
+
+ENOUGH = 100  # letters
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: no letter, or no more like any learned language than chance is."""
+    """Rejects documents without a language: null or no letter, or ENOUGH letters and yet no more like any learned language than chance is.
+
+    Shorter texts with letters stay: they are too short to tell. Of repeated rows all stay or go.
+    """
     names, prototypes = language_id.fit(docs.select("doc_id", "text", "lang"))
-    judged = language_id.identify(docs, names, prototypes, keep_text=True)
-    return judged.where((F.col("lang_pred") != language_id.UND) & (F.col("score") > language_id.DIM**-0.5)).select(*docs.columns)
+    spare = {c: f"~{c}" for c in docs.columns if c.lower() in ("lang_pred", "score")}  # columns that the operator would replace step aside
+    judged = language_id.identify(docs.withColumnsRenamed(spare), names, prototypes, keep_text=True)
+    short = F.regexp_count("text", F.lit("\\p{L}")) < ENOUGH
+    stays = judged.where((F.col("lang_pred") != language_id.UND) & ((F.col("score") > language_id.chance(len(names))) | short))
+    return stays.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in spare.items()}).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of exact and near copies (five words, 0.8); rows without an id stay."""
-    named = near_copies.near_copies(docs)
-    keep = named.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keeps one document of each group of exact and near copies (five words, 0.8): that with the smallest id, null last, of equal ids the one whose text has the smaller digest."""
+    return near_copies.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +43,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix says: rows repeat, or go."""
-    sizes = checkpoint(docs.select("doc_id", "source", mixing.word_count().alias("size")))
-    copies = checkpoint(mixing.mix(sizes).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Takes each document as often as the mix says: rows repeat, or go. Rows that agree in all columns are interchangeable."""
+    return mixing.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, and the digests of the ids and of what they decode to."""
+    """doc_id, lang, source, n_tokens, and the digests of the ids and of what they decode to; every row stays, null texts as empty ones."""
     proto = sentencepiece_bpe.read_model(spark, sentencepiece_bpe.default_model_path())
     return sentencepiece_bpe.encode_pieces(docs.select("doc_id", "lang", "source", "text"), proto)
 
@@ -65,6 +69,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
+        before = written_so_far()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        discard_written(spark, before)  # what the stage itself had stored
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
