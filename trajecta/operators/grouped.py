@@ -15,8 +15,18 @@ def key_schema(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def per_trajectory(df: DataFrame, roles: Roles, columns: Sequence[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: Sequence[str] | None = None) -> DataFrame:
-    """f gets a trajectory's columns (only those asked for) in order, and returns rows of schema; its key is put in front."""
+def spread(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """df dealt out by keys to a stated number of partitions: by default the session's shuffle partitions, and at least two for each core.
+
+    What kernels cost depends on rows and their work and not on bytes, by which Spark would put small partitions together.
+    """
+    spark = df.sparkSession
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
+def per_trajectory(df: DataFrame, roles: Roles, columns: Sequence[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """f gets a trajectory's columns (only those asked for) in order, and returns rows of schema; its key is put in front. partitions: see spread."""
     keys = list(keys or roles.pk)
     wanted = list(dict.fromkeys([*keys, *roles.order, *columns]))
     order = list(roles.order)
@@ -28,7 +38,7 @@ def per_trajectory(df: DataFrame, roles: Roles, columns: Sequence[str], f: Calla
             out.insert(i, k, pdf[k].iloc[0], allow_duplicates=True) if k not in out else None
         return out
 
-    rows = df.dropna(subset=keys).select(*wanted)
+    rows = spread(df.dropna(subset=keys).select(*wanted), keys, partitions)
     return rows.groupBy(*keys).applyInPandas(run, f"{key_schema(df, keys)}, {schema}")
 
 

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.operators import kernels as K
-from trajecta.operators.grouped import _finite
+from trajecta.operators.grouped import _finite, spread
 from trajecta.operators.measures import numbered
 from trajecta.roles import Roles
 
@@ -31,17 +31,20 @@ def expected_paths(df: DataFrame, roles: Roles, method: str = "mean", pad: str =
     if method != "fwp":
         raise ValueError(f"unknown method {method}")
 
-    def median(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = K.geometric_median(pdf[[roles.x, roles.y]].to_numpy(float))
-        out = pdf[[*keys, "step"]].head(1).copy()
-        out["x_est"], out["y_est"] = p
-        if roles.duration:
-            out["duration_est"] = pdf[roles.duration].mean()
+    def medians(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["step", *values], kind="stable")
+        step, table = pdf["step"].to_numpy(), pdf[values].to_numpy(float)
+        cut = np.flatnonzero(np.diff(step)) + 1
+        made = [[*K.geometric_median(part[:, :2]), *part[:, 2:].mean(0)] for part in np.split(table, cut)]
+        out = pd.DataFrame(made, columns=["x_est", "y_est", "duration_est"][: len(values)])
+        out.insert(0, "step", step[np.concatenate(([0], cut))])
+        for i, k in enumerate(keys):
+            out.insert(i, k, pdf[k].iloc[0])
         return out
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     more = ", duration_est double" if roles.duration else ""
-    return rows.select(*keys, "step", *values).groupBy(*keys, "step").applyInPandas(median, f"{kinds}, step int, x_est double, y_est double{more}")
+    return spread(rows.select(*keys, "step", *values), keys).groupBy(*keys).applyInPandas(medians, f"{kinds}, step int, x_est double, y_est double{more}")
 
 
 def fill_path(expected: DataFrame, roles: Roles, method: str = "mean") -> DataFrame:
@@ -79,25 +82,31 @@ def pair_distances(df: DataFrame, roles: Roles, expected: DataFrame) -> DataFram
 KERNELS = ("euc", "hau", "dtw", "dtw_textbook", "scan_match", "man", "eye", "dfr", "tde", "multi_match")
 
 
-def path_distances(df: DataFrame, roles: Roles, methods: Sequence[str] = ("euc", "hau", "dtw", "dfr", "man", "eye"), expected: DataFrame | None = None, fill: DataFrame | None = None, expected_method: str = "mean", suffix: str = "", k: int = 1, t_bin: int = 20) -> DataFrame:
+def path_distances(df: DataFrame, roles: Roles, methods: Sequence[str] = ("euc", "hau", "dtw", "dfr", "man", "eye"), expected: DataFrame | None = None, fill: DataFrame | None = None, expected_method: str = "mean", suffix: str = "", k: int = 1, t_bin: int = 20, partitions: int | None = None) -> DataFrame:
     """All asked distances in one grouped pass. Keys that expected does not know take the fill path.
 
     Fit on one set and transform another by passing expected (and fill); otherwise they are fitted on df itself.
+    partitions: how many the kernels are dealt out to (see grouped.spread).
     """
     if bad := set(methods) - set(KERNELS):
         raise ValueError(f"unknown distances {sorted(bad)}")
     expected = expected_paths(df, roles, expected_method) if expected is None else expected
     fill = fill_path(expected, roles, expected_method) if fill is None else fill
     values = [c for c in ("x_est", "y_est", "duration_est") if c in expected.columns]
-    as_path = F.array_sort(F.collect_list(F.struct("step", *values))).alias("path")
-    known = expected.groupBy(*roles.path_pk).agg(as_path)
-    other = fill.agg(as_path).first()
-    spare = [list(r)[1:] for r in (other["path"] if other else [])]
+
+    def flat(order: str, columns: Sequence[str]) -> Column:
+        """The rows in order as one array of doubles."""
+        listed = F.array_sort(F.collect_list(F.struct(order, *columns)))
+        return F.flatten(F.transform(listed, lambda r: F.array(*[r[c].cast("double") for c in columns])))
+
+    known = expected.groupBy(*roles.path_pk).agg(flat("step", values).alias("path"))
+    other = fill.agg(flat("step", values).alias("path")).first()
+    spare = np.array(other["path"] if other else [], float).reshape(-1, len(values))
     keys = list(roles.pk)
-    mine = F.array_sort(F.collect_list(F.struct("seq", roles.x, roles.y, *([roles.duration] if roles.duration else [])))).alias("own")
+    mine = [roles.x, roles.y, *([roles.duration] if roles.duration else [])]
     more = [F.first(p).alias(p) for p in roles.path_pk if p not in keys]
-    own = numbered(df, roles).groupBy(*keys).agg(mine, *more)
-    rows = own.join(known, list(roles.path_pk), "left").select(*keys, "own", "path")
+    own = numbered(df, roles).groupBy(*keys).agg(flat("seq", mine).alias("own"), *more)
+    rows = spread(own.join(known, list(roles.path_pk), "left").select(*keys, "own", "path"), keys, partitions)
     names = [n for m in methods for n in ([f"mm_{x}{suffix}" for x in K.MULTI_MATCH] if m == "multi_match" else [f"{m}_dist{suffix}"])]
 
     def run(batches):
@@ -105,8 +114,8 @@ def path_distances(df: DataFrame, roles: Roles, methods: Sequence[str] = ("euc",
             out = pdf[keys].copy()
             made = []
             for a, b in zip(pdf["own"], pdf["path"], strict=True):
-                p = np.array([[r[c] for c in r if c != "seq"] if isinstance(r, dict) else list(r)[1:] for r in a], float)
-                q = np.array([[r[c] for c in r if c != "step"] if isinstance(r, dict) else list(r)[1:] for r in b], float) if b is not None and len(b) else np.array(spare, float)
+                p = np.asarray(a, float).reshape(-1, len(mine))
+                q = np.asarray(b, float).reshape(-1, len(values)) if b is not None and len(b) else spare
                 row = []
                 for m in methods:
                     v = K.path_distance(m, p, q, k=k, t_bin=t_bin) if len(q) else np.nan

@@ -48,8 +48,8 @@ def scale_by_max(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def folds(df: DataFrame, group: Sequence[str], shares: Sequence[tuple[str, int]] = (("train", 60), ("val", 20), ("test", 20)), seed: int = 42) -> DataFrame:
-    """df with fold: all rows of a group fall into one, by the CRC-32 of its key and the seed."""
-    at = F.crc32(F.concat_ws("_", F.lit(str(seed)), *[F.col(g).cast("string") for g in group]).cast("binary")) % 100
+    """df with fold: all rows of a group fall into one, by the first eight hex digits of the MD5 of the seed and its key."""
+    at = F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(str(seed)), *[F.col(g).cast("string") for g in group])), 1, 8), 16, 10).cast("long") % 100
     out, edge = F.lit(shares[-1][0]), 100
     for name, share in reversed(shares):
         edge -= share

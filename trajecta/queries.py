@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.operators import features as P
@@ -16,31 +16,10 @@ from trajecta.operators import fixations, kernels, maps, measures, paths, prepro
 from trajecta.operators.grouped import Kernel
 from trajecta.plans import batteries
 from trajecta.plans.extractor import Extractor
-from trajecta.roles import Roles
-from trajecta.sources.tables import EVENTS_SQL, event_trajectories
+from trajecta.registry import QUERIES, R, SQL, U, W, add, over_events
+from trajecta.sources.tables import EVENTS_SQL
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-R = Roles()
 AREAS = ("click", "error", "purchase", "signup", "view")
-U = ("user_id",)
-
-
-def add(name: str, keys: Sequence[str], floats: Sequence[str], make: Callable[[SparkSession, str], DataFrame], sql: str | None = None, digits: int = 8) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return make(spark, sf_dir).select(*keys, *[(F.round(F.col(f"`{c}`").cast("double"), digits) + 0.0).alias(c) for c in floats])
-
-    QUERIES[name] = run
-    if sql:
-        values = [f'round(cast("{c}" as double), {digits}) + 0.0 as "{c}"' for c in floats]
-        SQL[name] = f"select {', '.join([*keys, *values])} from ({sql})"
-
-
-def over_events(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(event_trajectories(spark, sf_dir))
-
-
-W = "window w as (partition by user_id order by t, event_id)"
 STEPS = f"""with f as ({EVENTS_SQL}), s1 as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy, t - lag(t + duration / 1000) over w as dt, lag(aoi) over w as aoi0 from f {W}),
 s2 as (select *, sqrt(dx*dx + dy*dy) as length, case when dx is null or dy is null then null when dx = 0 then case when dy > 0 then 90.0::double when dy < 0 then -90.0::double else 0.0::double end
  when dx < 0 then degrees(atan(dy/dx)) + 180 when degrees(atan(dy/dx)) < 0 then degrees(atan(dy/dx)) + 360 else degrees(atan(dy/dx)) end as direction_angle from s1),
@@ -137,9 +116,7 @@ z as (select user_id, fixation_id, x, y, start_time, end_time, distance_min, dis
 ROLL = ["x", "y", "start_time", "end_time", "distance_min", "distance_max"]
 add("ivt_fixations", ["user_id", "fixation_id"], ROLL, over_events(lambda df: fixations.roll_up(fixations.ivt_runs(df, R, 5e-6), R.but(dispersion=None))), f"{IVT} select * from r", 6)
 add("ivt_features", ["user_id", "fixation_id"], [*ROLL, "duration", "saccade_duration", "saccade_length"], over_events(lambda df: fixations.ivt(df, R.but(dispersion=None), 5e-6, 1.0)), f"{NEAR} select * from z where duration >= 1", 6)
-add("idt_fixations", ["user_id", "fixation_id"], ["x", "y", "duration", "diameters", "saccade_length"], over_events(lambda df: preprocess.idt_fixations(df, R, 10_000.0, 4_000_000.0, 0.6)), None, 6)
 add("ihmm_fixations", ["user_id", "fixation_id"], ["x", "y", "duration", "diameters"], over_events(lambda df: preprocess.ihmm_fixations(df, R, fixation=(2e-6, 1e-6), saccade=(3e-5, 1e-5), viterbi=True)), None, 6)
-add("enclosing_circles", ["user_id", "fixation_id"], ["diameters", "center_x", "center_y"], over_events(lambda df: preprocess.enclosing_circles(fixations.ivt_runs(df, R, 5e-6).where("fixation_id is not null"), R)), None, 6)
 
 
 def pupil(df: DataFrame) -> DataFrame:
@@ -155,15 +132,12 @@ add("interp_gaps", ["user_id", "event_id"], ["pupil"], over_events(lambda df: fi
  last_value(case when not fl then seq end ignore nulls) over (partition by user_id order by t, event_id rows between unbounded preceding and current row) as s0, last_value(pupil ignore nulls) over (partition by user_id order by t, event_id rows between unbounded preceding and current row) as v0,
  first_value(case when not fl then seq end ignore nulls) over (partition by user_id order by t, event_id rows between current row and unbounded following) as s1, first_value(pupil ignore nulls) over (partition by user_id order by t, event_id rows between current row and unbounded following) as v1 from i)
 select user_id, event_id, case when pupil is not null then pupil when len <= 30 then coalesce(v0 + (v1 - v0) * (seq - s0) / nullif(s1 - s0, 0), v0, v1) end as pupil from z""", 6)
-add("missing_pupil_blinks", U, ["onset", "offset", "duration"], over_events(lambda df: preprocess.missing_pupil_blinks(pupil(df), R, "pupil")), None, 6)
 SHAPES = (("r", (0.1, 0.1), (0.4, 0.5)), ("c", (0.6, 0.6), 0.2), ("e", (0.3, 0.7), (0.3, 0.2), 30.0))
 add("shape_aoi", ["user_id", "event_id", "AOI"], [], over_events(lambda df: fixations.shape_areas(df, R, SHAPES)), f"""with f as ({EVENTS_SQL}) select user_id, event_id, case
  when pow((x-0.3)*cos(radians(30.0)) + (y-0.7)*sin(radians(30.0)), 2) / pow(0.3::double, 2) + ((x-0.3)*sin(radians(30.0)) - (y-0.7)*cos(radians(30.0))) / pow(0.2::double, 2) <= 1 then 'aoi_2'
  when sqrt(pow(x-0.6,2) + pow(y-0.6,2)) <= 0.2 then 'aoi_1' when x between 0.1 and 0.4 and y between 0.1 and 0.5 then 'aoi_0' end as "AOI" from f""")
 add("aoi_extract", ["cohort", "user_id", "event_id", "AOI", "best_method"], [], over_events(lambda df: preprocess.extract_areas(df, R, {"threshold": preprocess.threshold_method(11, 0.4), "gradient": preprocess.gradient_method(21, 0.4)}, ["cohort"], centre=False)))
 add("aoi_match", ["cohort", "user_id", "event_id", "AOI"], [], over_events(lambda df: preprocess.match_areas(fixations.shape_areas(df, R, SHAPES), R, ["cohort"])))
-for _name, _filter in (("savgol", preprocess.savgol_filter()), ("fir", preprocess.fir_filter(21, 250, 50)), ("iir", preprocess.iir_filter(3, 0.4)), ("wiener", preprocess.wiener_filter())):
-    add(f"smooth_{_name}", ["user_id", "event_id"], ["x", "y"], over_events(lambda df, f=_filter: preprocess.smooth(df.select("user_id", "event_id", "t", "x", "y"), R, f)), None, 6)
 
 # --- maps, sequences, graphs
 SCALED = f"""with f as ({EVENTS_SQL}), q as (select *, row_number() over w - 1 as seq from f {W}), m as (select user_id, seq, t, x, y, (x - min(x) over p) / (max(x) over p - min(x) over p) as sx, (y - min(y) over p) / (max(y) over p - min(y) over p) as sy from q window p as (partition by user_id))"""
@@ -198,17 +172,14 @@ select user_id, cell, case when max(d) over p > 0 then d / max(d) over p else d
 add("kde_heatmap", ["user_id", "i", "j"], ["v"], over_events(lambda df: maps.kde_heatmap(df, R, 6)), f"""with f as ({EVENTS_SQL}), c0 as (select user_id, count(*)::double as n, var_samp(x) as a, covar_samp(x, y) as b, var_samp(y) as c from f group by 1), c as (select user_id, n, a*pow(n,-1.0/3) as a, b*pow(n,-1.0/3) as b, c*pow(n,-1.0/3) as c from c0),
 k as (select *, a*c - b*b as det from c), g as (select f.user_id, i, j, i / 5.0::double - x as u, j / 5.0::double - y as v, n, a, b, c, det from f join k on f.user_id = k.user_id and n > 2 and det > 1e-14*(a+c)*(a+c), range(6) r(i), range(6) s(j))
 select user_id, i::int as i, j::int as j, sum(exp(-((c*u*u - 2*b*u*v + a*v*v) / det) / 2)) / any_value(n) / (2*pi()*sqrt(any_value(det))) as v from g group by 1, 2, 3""", 6)
-add("images", ["user_id", "channel", "h", "w"], ["total"], over_events(lambda df: maps.images(df, R, ("heatmap", "gaf", "mtf", "rqa"), (16, 16)).select("user_id", "channel", "h", "w", F.aggregate("data", F.lit(0.0), lambda a, b: a + b).alias("total"))), None, 4)
 add("lower_star", ["user_id", "dim"], ["birth", "death"], over_events(lambda df: maps.lower_star(df, R, "x")), f"with f as ({EVENTS_SQL}) select user_id, 0::int as dim, x as birth, null::double as death from f")
 add("persistence_curve", U, ["time", "value"], over_events(lambda df: maps.persistence_curve(df.select("user_id", F.col("x").alias("birth"), (F.col("x") + F.col("y")).alias("death")), U, (0.0, 0.25, 0.5, 0.75, 1.0))), f"with f as ({EVENTS_SQL}) select user_id, tm as time, coalesce(sum(case when x <= tm and tm < x + y then (x + y) - x end), 0) as value from f, (values (0.0::double), (0.25), (0.5), (0.75), (1.0)) v(tm) group by 1, 2")
 add("rips_diagram", ["user_id", "dim"], ["birth", "death"], over_events(lambda df: maps.rips_diagram(df, R, 0.8)), None, 6)
-add("marks", ["user_id", "layer", "seq", "bin", "backward"], ["x0", "y0"], over_events(lambda df: maps.marks(df, R)), None)
 
 # --- expected paths and distances
 EXPECT = f"""with f as ({EVENTS_SQL}), q as (select *, row_number() over w - 1 as step from f {W}), np as (select cohort, count(distinct user_id) as paths from f group by 1),
 ex as (select q.cohort, step, sum(x) / any_value(paths) as x_est, sum(y) / any_value(paths) as y_est, sum(duration) / any_value(paths) as duration_est from q join np on q.cohort = np.cohort group by 1, 2)"""
 add("expected_path", ["cohort", "step"], ["x_est", "y_est", "duration_est"], over_events(lambda df: paths.expected_paths(df, R)), f"{EXPECT} select * from ex")
-add("expected_path_fwp", ["cohort", "step"], ["x_est", "y_est", "duration_est"], over_events(lambda df: paths.expected_paths(df, R, "fwp")), None, 4)
 add("fill_path", ["step"], ["x_est", "y_est", "duration_est"], over_events(lambda df: paths.fill_path(paths.expected_paths(df, R), R)), f"{EXPECT}, n as (select count(distinct cohort) as n from ex) select step, sum(x_est) / any_value(n) as x_est, sum(y_est) / any_value(n) as y_est, sum(duration_est) / any_value(n) as duration_est from ex, n group by step")
 add("euc_dist", U, ["euc_dist"], over_events(lambda df: paths.step_distances(df, R, paths.expected_paths(df, R))), f"{EXPECT} select user_id, sum(pow(x - x_est, 2) + pow(y - y_est, 2)) as euc_dist from q join ex on q.cohort = ex.cohort and q.step = ex.step group by 1")
 PAIRS = f"""{EXPECT}, d as (select q.user_id, q.step as i, ex.step as j, pow(x - x_est, 2) + pow(y - y_est, 2) as d from q join ex on q.cohort = ex.cohort), a as (select user_id, max(m) as pmax, sum(m) as psum, count(*) as n, sum(s) as tot from (select user_id, i, min(d) as m, sum(d) as s from d group by 1, 2) group by 1),
@@ -223,7 +194,6 @@ add("hau_dist_kernel", U, ["hau_dist"], over_events(lambda df: paths.path_distan
 add("normalize_window", ["user_id", "event_id"], ["x_norm", "y_norm"], over_events(lambda df: tables.normalize(df, ["cohort"], ["x", "y"])), f"with f as ({EVENTS_SQL}) select user_id, event_id, (x - avg(x) over p) / stddev_samp(x) over p as x_norm, (y - avg(y) over p) / stddev_samp(y) over p as y_norm from f window p as (partition by cohort)", 6)
 add("normalize_fit", ["user_id", "event_id"], ["x_norm"], over_events(lambda df: tables.apply_normalization(df, tables.fit_normalization(df.where("cohort < 5"), ["cohort"], ["x"]), ["cohort"], ["x"])), f"with f as ({EVENTS_SQL}) select user_id, event_id, (x - avg(x) over p) / stddev_samp(x) over p as x_norm from f window p as (partition by cohort)", 6)
 add("max_normalize", ["user_id", "event_id"], ["norm_pos_x"], over_events(lambda df: tables.scale_by_max(df, "x", "norm_pos_x")), f"with f as ({EVENTS_SQL}) select user_id, event_id, x / (select max(x) from f) as norm_pos_x from f")
-add("splits", ["user_id", "fold"], [], over_events(lambda df: tables.folds(df.select("user_id").distinct(), ["user_id"])))
 add("split_semi", ["user_id", "n"], [], over_events(lambda df: tables.of_fold(df, df.select("user_id").distinct().withColumn("fold", F.when(F.col("user_id") % 5 < 3, "train").otherwise("test")), ["user_id"], "train").groupBy("user_id").agg(F.count("*").alias("n"))), f"with f as ({EVENTS_SQL}) select user_id, count(*) as n from f where user_id % 5 < 3 group by 1")
 add("label_join", ["doc_id", "quality", "toxic"], [], lambda s, d: tables.with_labels(s.read.parquet(f"{d}/documents.parquet").select("doc_id"), s.read.parquet(f"{d}/labels.parquet"), ["doc_id"]), "select d.doc_id, quality, toxic from documents d left join labels l on d.doc_id = l.doc_id")
 add("group_labels", ["cohort", "aoi"], [], over_events(lambda df: tables.group_labels(df, ["cohort"], ["aoi"], ["t", "event_id"])), f"with f as ({EVENTS_SQL}) select cohort, arg_min(aoi, (t, event_id)) as aoi from f group by 1")
@@ -233,12 +203,10 @@ add("classification_metrics", [], ["accuracy", "precision", "recall", "f1"], ove
 p as (select hit / said as p, hit / n_real as r, hit, n_real from c join d using (c)) select sum(hit) / sum(n_real) as accuracy, avg(p) as "precision", avg(r) as recall, avg(2*p*r/(p+r)) as f1 from p""")
 
 
-def _first(df: DataFrame) -> DataFrame:
-    return df.where("user_id < 30")
-
-
-PM = f"""with f as ({EVENTS_SQL}), q as (select user_id, x, y, row_number() over w - 1 as step from f where user_id < 30 {W}), ids as (select distinct user_id from q),
+PM = f"""with f as ({EVENTS_SQL}), q as (select user_id, x, y, row_number() over w - 1 as step from f {W}), ids as (select distinct user_id from q),
 m as (select cast(a.user_id as varchar) as p, cast(b.user_id as varchar) as q, sum(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as value from q a join q b on a.step = b.step group by 1, 2)"""
-add("pairwise_matrix", ["p", "q"], ["value"], over_events(lambda df: tables.pairwise(_first(df), R, lambda a, b: kernels.path_distance("euc", a, b))), f"{PM} select p, q, value from m", 6)
-add("double_center", ["p", "q"], ["value"], over_events(lambda df: tables.double_centred(tables.pairwise(_first(df), R, lambda a, b: kernels.path_distance("euc", a, b)))), f"{PM} select p, q, -0.5 * (value - avg(value) over (partition by p) - avg(value) over (partition by q) + avg(value) over ()) as value from m", 6)
+add("pairwise_matrix", ["p", "q"], ["value"], over_events(lambda df: tables.pairwise(df, R, lambda a, b: kernels.path_distance("euc", a, b))), f"{PM} select p, q, value from m", 9)
+add("double_center", ["p", "q"], ["value"], over_events(lambda df: tables.double_centred(tables.pairwise(df, R, lambda a, b: kernels.path_distance("euc", a, b)))), f"{PM} select p, q, -0.5 * (value - avg(value) over (partition by p) - avg(value) over (partition by q) + avg(value) over ()) as value from m", 6)
 ENTRY = "sac_length"
+
+from trajecta import kernel_queries  # noqa: E402, F401  it declares more
