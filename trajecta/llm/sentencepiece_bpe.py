@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trajecta.llm.common import map_batches, table, with_outputs
 
 MARK = "▁"
-MEMO, FITS = 40_000, 60_000  # segments in each of two generations, and pairs of tokens; a task's end empties both
+MEMO, FITS = 120_000, 200_000  # segments in each of two generations, and pairs of tokens; a task's end empties both
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~'"
 NEVER = float("-inf")
 
@@ -85,8 +85,8 @@ class PieceBPE:
             self.automaton.add_word(p, (len(p), p))
         self.automaton.make_automaton()
         self.prefixes = {p: q for p in found if (q := next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in found), None))}
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.memo: dict[str, str | tuple[str, str]] = {}
+        self.older: dict[str, str | tuple[str, str]] = {}
 
     def trace(self, text: str) -> tuple[list[str], list[float], list[str], list[str]]:
         """Merge adjacent symbols, best score first, the leftmost of equals (quadratic, for short texts).
@@ -209,12 +209,14 @@ class PieceBPE:
         out.append(run.decode("utf-8", "replace"))
         return "".join(out)
 
-    def _segment(self, s: str) -> tuple[int, str, str]:
-        """Number of ids, ids joined by commas, and what they decode to; kept in a memo of two generations."""
+    def _segment(self, s: str) -> str | tuple[str, str]:
+        """The ids of a segment, joined by commas, with what they decode to if that is not the segment itself; kept in a memo of two generations."""
         got = self.older.get(s)
         if got is None:
             ids = self.segment_ids(s)
-            got = (len(ids), ",".join(map(str, ids)), self._joined(ids))
+            got, decoded = ",".join(map(str, ids)), self._joined(ids)
+            if decoded != s.replace(MARK, " "):
+                got = got, decoded
         if len(s) <= 64:
             if len(self.memo) >= MEMO:
                 self.older = self.memo
@@ -226,20 +228,24 @@ class PieceBPE:
         for known in (self.memo, self.older, self.fits, self.traces):
             known.clear()
 
-    def _segments(self, text: str) -> list[tuple[int, str, str]]:
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, the ids joined by commas, and the decoded text."""
         if not text:
-            return []
-        text = text.replace(" ", MARK)
-        return [self.memo.get(s) or self._segment(s) for s in self.segment.findall(MARK + text if self.prefix else text)]
+            return 0, "", ""
+        memo, text = self.memo, text.replace(" ", MARK)
+        segments = self.segment.findall(MARK + text if self.prefix else text)
+        parts = [memo.get(s) or self._segment(s) for s in segments]
+        odd = [k for k, p in enumerate(parts) if type(p) is tuple]
+        if odd:
+            segments = [s.replace(MARK, " ") for s in segments]
+            for k in odd:
+                parts[k], segments[k] = parts[k]
+        ids, decoded = ",".join(parts), "".join(segments).replace(MARK, " ") if not odd else "".join(segments)
+        return ids.count(",") + 1, ids, decoded[1:] if self.prefix and decoded[:1] == " " else decoded
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self._segments(text) for i in ids.split(",")]
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas, and the decoded text."""
-        parts = self._segments(text)
-        decoded = "".join([p[2] for p in parts])
-        return sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), decoded[1:] if self.prefix and decoded[:1] == " " else decoded
+        ids = self.digest(text)[1]
+        return [int(i) for i in ids.split(",")] if ids else []
 
 
 _models: dict[bytes, PieceBPE] = {}
