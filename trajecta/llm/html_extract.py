@@ -12,6 +12,7 @@ import html as entities
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,31 +21,50 @@ from pyspark.sql import DataFrame, SparkSession
 from trajecta.llm.common import map_batches, table, with_outputs
 
 BLOCKS = frozenset(
-    "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    "address article aside audio blockquote body button canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript object ol option p pre search section select summary svg table tbody td template tfoot th thead tr ul video".split()
 )
-RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "math", "object", "video", "audio", "canvas")}
-ALIKE = 0.6
+#: What these hold is no text; an end tag that is missing is only looked for where the content is code.
+RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "style", "textarea", "title")}
+CODE = ("script", "style")
+ALIKE, ANY = 0.6, "*"
 CONTAINERS = frozenset("div section article main aside header footer nav form".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: An open element of the set is closed by a start tag of the key, up to the barrier.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "body": ({"head"}, {"html"})}
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+ATTRIBUTES = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+(?=>)""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|data-main)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-WORDS = re.compile(r"[a-z]+")
-#: Words of class, id and role, by what they tell.
-THEMES = {
-    "content": "article content entry post story main body text blog news prose read",
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs crumbs toc pagination pager tabs skip toolbar",
-    "header": "header masthead banner branding logo topbar top hero site",
-    "footer": "footer foot copyright legal colophon bottom credits",
-    "side": "sidebar aside side rail widget widgets complementary column related recommended more popular trending teaser links tags",
-    "advert": "ad ads advert advertisement adverts advertising sponsor sponsored promo promoted promotion dfp banners",
-    "notice": "cookie cookies consent notice gdpr alert modal popup overlay message warning info paywall dialog disclaimer privacy toast",
-    "form": "form search subscribe newsletter login signup register contact input subscription poll survey",
-    "comment": "comment comments reply replies respond discussion disqus thread reviews review commentlist feedback",
-    "social": "share social sharing follow twitter facebook like print email author byline meta date rating",
-}
-THEME = {w: t for t, words in THEMES.items() for w in words.split()}
+WORDS = re.compile(r"[a-z]{2,}")
+MOST_WORDS = 12  # of an attribute that tell about an element
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", name, attributes) of tags, comments and declarations (without name), in one pass.
+
+    A > within quotes does not end a tag. After a quote that is never closed, quotes mean nothing; a tag without > is text.
+    """
+    at, quotes = 0, True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", "", ""
+            continue
+        name = NAME.match(page, start)
+        if not name and page[start + 1 : start + 2] not in ("!", "?"):
+            at = start + 1
+            continue
+        begin = name.end() if name else start
+        inner = ATTRIBUTES.match(page, begin) if quotes and name else None
+        if inner:
+            end = inner.end()
+        else:
+            quotes = quotes and not name
+            end = page.find(">", begin)
+            if end < 0:
+                return
+        at = end + 1
+        yield start, at, name[1] if name else "", name[2] if name else "", page[begin:end]
 
 
 class Node:
@@ -58,25 +78,25 @@ class Node:
 
 @lru_cache(maxsize=20_000)
 def _element(tag: str, attributes: str) -> tuple[tuple, bool | None]:
-    """The signature of an element, and its label if it carries one."""
-    themes, label, hidden = set(), None, False
+    """The signature of an element (its tag and the words of its class, id and role), and its label if it carries one."""
+    words, label, hidden = set(), None, False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
-            themes |= {THEME[w] for w in WORDS.findall(value) if w in THEME}
+            words |= set(WORDS.findall(value)[:MOST_WORDS])
         elif name == "data-main":
             label = value == "1"
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "")
         else:
             hidden |= value != "false"
-    return ("e", tag, *sorted(themes), *["hidden"] * hidden), label
+    return ("e", tag, *sorted(words), *["(hidden)"] * hidden), label
 
 
 def parse(page: str) -> list[Node]:
     """Block elements and runs of text, parents before children, in page order."""
     nodes = [Node("html", ("e", "html"), -1)]
-    stack, run, links, at = [0], [], 0, 0  # links: open <a> elements
+    stack, run, links, at, missing = [0], [], 0, 0, set()  # links: open <a> elements
 
     def add_text(piece: str) -> None:
         nonlocal run
@@ -89,15 +109,14 @@ def parse(page: str) -> list[Node]:
         if links:
             node.links += len(piece)
 
-    for m in TAG.finditer(page):
-        if m.start() < at:
+    for start, stop, close, tag, attributes in tags(page):
+        if start < at:
             continue  # within a skipped element
-        if m.start() > at:
-            piece = page[at : m.start()]
+        if start > at:
+            piece = page[at:start]
             if run or not piece.isspace():
                 add_text(entities.unescape(piece) if "&" in piece else piece)
-        at = m.end()
-        close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        at = stop
         if not tag:
             continue
         tag = tag.lower()
@@ -113,9 +132,11 @@ def parse(page: str) -> list[Node]:
                         break
             continue
         if tag in RAW:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and tag not in missing:
                 end = RAW[tag].search(page, at)
-                at = end.end() if end else len(page)
+                if not end:
+                    missing.add(tag)  # and none behind it
+                at = end.end() if end else len(page) if tag in CODE else at
             continue
         if tag == "br":
             if run:
@@ -129,6 +150,8 @@ def parse(page: str) -> list[Node]:
             if tag == "hr":
                 continue
             links = 0
+            if nodes[stack[-1]].tag == "svg":  # a block within a drawing ends it
+                stack.pop()
             if nodes[stack[-1]].tag == "p" or tag in CLOSES:
                 shut, barrier = CLOSES.get(tag, (set(), set()))
                 if nodes[stack[-1]].tag == "p":
@@ -144,6 +167,8 @@ def parse(page: str) -> list[Node]:
             stack.append(len(nodes) - 1)
     if at < len(page) and not page[at:].isspace():
         add_text(entities.unescape(page[at:]))
+    if not any(n.tag == "body" for n in nodes):
+        nodes[0].tag = "body"  # it may be left out
     return nodes
 
 
@@ -179,7 +204,7 @@ class TreeModel:
                         continue
                     n.sign = _text_sign(n, text)
                 if n.parent >= 0:
-                    seen[y].update(((nodes[n.parent].tag, n.tag), (nodes[n.parent].tag, None)))
+                    seen[y].update(((nodes[n.parent].tag, n.tag), (nodes[n.parent].tag, None), (ANY, n.tag), (ANY, None)))
                 group = self._group(n.sign, nodes[n.parent].tag)
                 seen[y].update({(group, f) for f in n.sign[2:]})
                 seen[y].update(((group, None), (group, n.sign[2:])))
@@ -204,7 +229,9 @@ class TreeModel:
             own = list(sign[2:])
             if sign[0] == "e" and self.seen[0][group, sign[2:]] + self.seen[1][group, sign[2:]] >= 5:
                 own = [sign[2:]]  # words that are often seen together, or none, count as one
-            for where, f in [(under, sign[1]), *[(group, f) for f in own]]:
+            known = lambda x: self.seen[0][x] or self.seen[1][x]
+            below = (under, sign[1]) if known((under, sign[1])) else (ANY, sign[1])
+            for where, f in [x for x in (below, *[(group, f) for f in own]) if known(x)]:  # what was not seen says nothing
                 a, b = ((self.seen[y][where, f] + 0.5) / (self.seen[y][where, None] + 1) for y in (1, 0))
                 got *= a / b
             if len(self.known) < 100_000:
@@ -258,7 +285,23 @@ class TreeModel:
         return " ".join([t for i, t in texts.items() if p[i] > 0.5])
 
 
-def labelled_pages(n: int = 800, seed: int = 5) -> list[str]:
+#: Class names that pages use, by what the element holds; they label training pages and are no features by themselves.
+CLASS_NAMES = {
+    "content": "content post-content article-body entry entry-content story-text post story main body-text prose article text blog-post news-item reading",
+    "menu": "menu navbar main-menu navigation nav breadcrumb breadcrumbs pagination pager tabs toolbar toc skip-links crumbs",
+    "header": "header site-header masthead topbar banner branding logo top-bar hero",
+    "footer": "footer site-footer copyright page-footer legal colophon bottom credits foot",
+    "side": "sidebar widget related recommended side-rail rail widgets complementary right-column trending popular teaser more-links tags aside",
+    "advert": "ad ads advert sponsored advertisement promo ad-banner sponsor dfp promotion advertising promoted-links",
+    "notice": "cookie-notice notice consent alert popup gdpr-banner modal overlay message-bar toast privacy-warning cookies paywall disclaimer",
+    "form": "search newsletter login subscribe signup register contact-form subscription poll survey search-box",
+    "comments": "comments comment-list discussion replies respond thread reviews commentlist feedback disqus",
+    "comment": "comment reply comment-body review-item post-comment",
+    "social": "share social sharing follow like-buttons share-bar",
+}
+
+
+def labelled_pages(n: int = 1500, seed: int = 5) -> list[str]:
     """Labelled pages of many layouts: articles in <article>, <main>, or classed <div>; headings, lists, quotes, tables and
     figures in them; menus, headers, footers, sidebars, adverts, notices, forms and comments around and inside."""
     r = random.Random(seed)
@@ -270,45 +313,51 @@ def labelled_pages(n: int = 800, seed: int = 5) -> list[str]:
     def sentences(lo: int, hi: int) -> str:
         return " ".join(words(3, 18).capitalize() + r.choice(".....!?") for _ in range(r.randint(lo, hi)))
 
-    def cls(*options: str) -> str:
-        return f' {r.choice(("class", "class", "id"))}="{r.choice(options)}"' if r.random() < 0.85 else ""
+    names = {k: v.split() for k, v in CLASS_NAMES.items()}
+
+    def cls(kind: str) -> str:
+        both = f"{r.choice(names[kind])} {r.choice(names[kind])}" if r.random() < 0.15 else r.choice(names[kind])
+        return f' {r.choice(("class", "class", "id"))}="{both}"' if r.random() < 0.85 else ""
 
     def links(lo: int, hi: int) -> str:
         return "".join(f'<li><a href="/x">{words(1, 3)}</a></li>' for _ in range(r.randint(lo, hi)))
 
-    def off(tag: str, inner: str, *classes: str) -> str:
-        return f'<{tag} data-main="0"{cls(*classes)}>{inner}</{tag}>' if classes else f'<{tag} data-main="0">{inner}</{tag}>'
+    def off(tag: str, inner: str, kind: str | None = None) -> str:
+        return f'<{tag} data-main="0"{cls(kind) if kind else ""}>{inner}</{tag}>'
 
     def menu() -> str:
-        return r.choice([lambda: off("nav", f"<ul>{links(2, 9)}</ul>"), lambda: off("nav", f"<ul>{links(2, 9)}</ul>", "navbar", "main-menu"), lambda: off("div", f"<ul>{links(3, 9)}</ul>", "menu", "navigation", "breadcrumb"), lambda: off("ul", links(2, 7), "menu", "breadcrumbs", "pagination")])()
+        return r.choice([lambda: off("nav", f"<ul>{links(2, 9)}</ul>"), lambda: off("nav", f"<ul>{links(2, 9)}</ul>", "menu"), lambda: off("div", f"<ul>{links(3, 9)}</ul>", "menu"), lambda: off("ul", links(2, 7), "menu")])()
 
     def advert() -> str:
-        return r.choice([lambda: off("div", sentences(1, 2), "ad", "ads", "advert", "sponsored"), lambda: off("div", f"<p>{sentences(1, 3)}</p><a href=/b>{words(1, 4)}</a>", "advertisement", "promo", "ad-banner"), lambda: off("aside", sentences(1, 2), "ad", "sponsor")])()
+        return r.choice([lambda: off("div", sentences(1, 2), "advert"), lambda: off("div", f"<p>{sentences(1, 3)}</p><a href=/b>{words(1, 4)}</a>", "advert"), lambda: off("aside", sentences(1, 2), "advert")])()
 
     def notice() -> str:
-        return off(r.choice(("div", "section", "dialog")), f"<p>{sentences(1, 3)}</p><button>{words(1, 2)}</button>" if r.random() < 0.6 else sentences(1, 2), "cookie-notice", "notice", "consent", "alert", "popup", "gdpr-banner")
+        return off(r.choice(("div", "section", "dialog")), f"<p>{sentences(1, 3)}</p><button>{words(1, 2)}</button>" if r.random() < 0.6 else sentences(1, 2), "notice")
 
     def form() -> str:
-        return r.choice([lambda: f'<form data-main="0" action="/s"{cls("search", "newsletter", "login")}><label>{words(1, 3)}</label><input name=q><button>{words(1, 2)}</button></form>', lambda: off("div", f"<p>{sentences(1, 1)}</p><form><input><select><option>{words(1, 2)}<option>{words(1, 2)}</select><button>{words(1, 1)}</button></form>", "subscribe", "newsletter", "signup")])()
+        return r.choice([lambda: f'<form data-main="0" action="/s"{cls("form")}><label>{words(1, 3)}</label><input name=q><button>{words(1, 2)}</button></form>', lambda: off("div", f"<p>{sentences(1, 1)}</p><form><input><select><option>{words(1, 2)}<option>{words(1, 2)}</select><button>{words(1, 1)}</button></form>", "form")])()
+
+    def social() -> str:
+        return off(r.choice(("div", "ul")), f"<li><a href=/f>{words(1, 1)}</a></li><li><a href=/t>{words(1, 2)}</a></li>", "social")
 
     def comments() -> str:
         tag, item = r.choice((("section", "div"), ("div", "div"), ("ol", "li"), ("div", "p"), ("div", "article")))
-        inner = "".join(f'<{item}{cls("comment", "reply", "comment-body")}>' + (f"<p>{sentences(1, 4)}</p>" if item != "p" else sentences(1, 3)) + f"</{item}>" for _ in range(r.randint(1, 6)))
-        return f'<{tag} data-main="0" {r.choice(("class", "id"))}="{r.choice(("comments", "comment-list", "discussion", "replies", "respond"))}"><h{r.randint(2, 4)}>{words(1, 3)}</h3>{inner}</{tag}>'
+        inner = "".join(f'<{item}{cls("comment")}>' + (f"<p>{sentences(1, 4)}</p>" if item != "p" else sentences(1, 3)) + f"</{item}>" for _ in range(r.randint(1, 6)))
+        return f'<{tag} data-main="0" {r.choice(("class", "id"))}="{r.choice(names["comments"])}"><h{r.randint(2, 4)}>{words(1, 3)}</h3>{inner}</{tag}>'
 
     def header() -> str:
-        return off("header", r.choice((f"<h1>{words(1, 4)}</h1>", f"<div class=logo>{words(1, 3)}</div>", f"<p>{words(2, 7)}</p>")) + (menu() if r.random() < 0.4 else "")) if r.random() < 0.6 else off("div", f"<h2>{words(1, 4)}</h2><p>{words(2, 8)}</p>", "header", "site-header", "masthead", "topbar")
+        return off("header", r.choice((f"<h1>{words(1, 4)}</h1>", f"<div class=logo>{words(1, 3)}</div>", f"<p>{words(2, 7)}</p>")) + (menu() if r.random() < 0.4 else "")) if r.random() < 0.6 else off("div", f"<h2>{words(1, 4)}</h2><p>{words(2, 8)}</p>", "header")
 
     def footer() -> str:
         inner = r.choice((f"&copy; {words(1, 4)} &middot; {sentences(1, 2)}", f"<p>&copy; {words(1, 5)}</p><ul>{links(1, 5)}</ul>", f"<p>{sentences(1, 2)}</p>", f"{words(3, 9)}"))
-        return off("footer", inner) if r.random() < 0.7 else off("div", inner, "footer", "site-footer", "copyright")
+        return off("footer", inner) if r.random() < 0.7 else off("div", inner, "footer")
 
     def side() -> str:
         inner = r.choice((f"<h3>{words(1, 3)}</h3><ul>{links(2, 8)}</ul>", f"<h3>{words(1, 3)}</h3><p>{sentences(1, 3)}</p>", f"<p>{sentences(1, 2)}</p>"))
-        return off("aside", inner) if r.random() < 0.5 else off("div", inner, "sidebar", "widget", "related", "recommended", "side-rail")
+        return off("aside", inner) if r.random() < 0.5 else off("div", inner, "side")
 
     def junk(p: float) -> str:
-        return "".join(f() for f in r.sample((advert, notice, form, side), 2) if r.random() < p)
+        return "".join(f() for f in r.sample((advert, notice, form, side, social), 2) if r.random() < p)
 
     def body() -> str:
         style = r.random()  # some pages write without sentences
@@ -333,8 +382,10 @@ def labelled_pages(n: int = 800, seed: int = 5) -> list[str]:
                 out.append(f"<div>{sentences(1, 4)}</div>")
             elif x < 0.92:
                 out.append(f"<pre>{words(2, 12)}\n{words(2, 12)}</pre>")
-            elif x < 0.96:
+            elif x < 0.95:
                 out.append(junk(0.7))
+            elif x < 0.965:
+                out.append(r.choice((f"<noscript>{sentences(1, 2)}</noscript>", f"<p>{sentences(1, 1)}<svg><text>{words(1, 3)}</text></svg>{sentences(1, 1)}</p>", f"<p>{words(2, 5)} <math><mi>{words(1, 1)}</mi></math> {sentences(1, 1)}</p>", f"<object><p>{sentences(1, 1)}</p></object>")))
             else:
                 out.append(sentences(1, 3))
         if r.random() < 0.2:
@@ -343,7 +394,7 @@ def labelled_pages(n: int = 800, seed: int = 5) -> list[str]:
 
     pages = []
     for _ in range(n):
-        open_, close = r.choice((("<article data-main=1>", "</article>"), ("<article data-main=1>", "</article>"), (f'<article data-main=1 {cls("post", "entry", "story")}>', "</article>"), ("<main><article data-main=1>", "</article></main>"), ("<main data-main=1>", "</main>"), (f'<div data-main=1 class="{r.choice(("content", "post-content", "article-body", "entry", "story-text"))}">', "</div>"), (f'<section data-main=1 id="{r.choice(("content", "article", "main"))}">', "</section>"), ("<div><div data-main=1>", "</div></div>")))
+        open_, close = r.choice((("<article data-main=1>", "</article>"), ("<article data-main=1>", "</article>"), (f'<article data-main=1 {cls("content")}>', "</article>"), ("<main><article data-main=1>", "</article></main>"), ("<main data-main=1>", "</main>"), (f'<div data-main=1 class="{r.choice(names["content"])}">', "</div>"), (f'<section data-main=1 id="{r.choice(names["content"])}">', "</section>"), ("<div><div data-main=1>", "</div></div>")))
         top = "".join(f() for f in (header, menu, notice, advert, form) if r.random() < 0.5)
         end = "".join(f() for f in (comments, side, form, advert, notice) if r.random() < 0.4) + (footer() if r.random() < 0.85 else "")
         wrap = r.random() < 0.3
