@@ -86,8 +86,8 @@ def test_landing_keeps_the_number_of_documents():
             assert abs(np.dot(p, sizes) - np.dot(start, sizes)) <= 1.0
 
 
-def plain_language(docs):
-    """Rows that stay: cosines with the mean of unit profiles, each the sum of bound letter vectors."""
+def plain_cosines(docs):
+    """(languages, profiles, cosines of each document with each): prototypes are means of unit profiles, each the sum of bound letter vectors."""
 
     def grams(text):
         codes = [0]
@@ -120,8 +120,22 @@ def plain_language(docs):
         if zlib.crc32(str(i).encode()) % 5 and lang:
             train.setdefault(lang, []).append(unit(p))
     prototypes = np.stack([unit(sum(v)) for _, v in sorted(train.items())])
-    limit = language_id.chance(len(train))
-    return [bool(p.any()) and (len(re.findall(r"[^\W\d_]", t)) < corpus_pipeline.ENOUGH or (prototypes @ unit(p)).max() > limit) for p, t in zip(profiles, docs.text, strict=True)]
+    return sorted(train), profiles, [prototypes @ unit(p) for p in profiles]
+
+
+def plain_language(docs):
+    """Rows that stay."""
+    languages, profiles, cosines = plain_cosines(docs)
+    limit = language_id.chance(len(languages))
+    return [bool(p.any()) and (len(re.findall(r"[^\W\d_]", t)) < corpus_pipeline.ENOUGH or c.max() > limit) for p, c, t in zip(profiles, cosines, docs.text, strict=True)]
+
+
+def test_language_is_that_of_the_nearest_prototype(spark):
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    languages, profiles, cosines = plain_cosines(docs)
+    got = {r["doc_id"]: r for r in language_id.op5_language_id(spark, SF).collect()}
+    for i, p, c in zip(docs.doc_id, profiles, cosines, strict=True):
+        assert got[i]["lang_pred"] == (languages[int(c.argmax())] if p.any() else "und") and abs(got[i]["score"] - max(0, c.max() if p.any() else 0)) < 1e-5
 
 
 def plain_redaction(docs):

@@ -4,7 +4,8 @@ A text is cut into paragraphs (lines), and these into pieces at places that depe
 changes only the pieces near it. Every distinct piece has a 64-bit digest, which goes into HASHES cells of a sketch: each
 cell counts its digests and xors them and their check sums. Two versions are compared by subtracting their cells; peeling
 cells that hold one digest recovers the digests that differ. If peeling fails, both versions are sketched again with
-twice as many cells. All steps run over the cells of many documents at once.
+twice as many cells. The fingerprints that are returned have CELLS cells, so that equal texts have equal ones; a likeness
+that needs more cells comes from larger sketches of the same digests, which are not returned. All steps run over the cells of many documents at once.
 """
 
 from __future__ import annotations
@@ -168,7 +169,8 @@ def compare_versions(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     The edited text replaces the last floor(n_chars / 4) code points by the first as many (or all) of the next row's text,
     by ascending key (null first; ties by the text's hash), after the last row the first. Null texts count as empty; two
-    empty texts are alike (1). Rows that repeat follow each other. An empty table gives an empty result.
+    empty texts are alike (1). Rows that repeat follow each other. Texts are sketched whole, however long. An empty table
+    gives an empty result; other columns are left out.
     """
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

@@ -139,7 +139,7 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float = 3
 
     Reruns agree: draws come from hashes. Rows that repeat in all columns are interchangeable. Null ids and sources are
     values like others, null sizes count as 0. Documents of size 0 may get copies, which take nothing. An empty table
-    gives an empty result.
+    gives an empty result; other columns are left out (take() keeps them).
     """
     sizes = sizes.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
     targets = source_targets(sizes, weights, limit)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import checkpoint, map_batches, table, with_outputs, written
+from trajecta.llm.common import checkpoint, map_batches, shielded, table, with_outputs, written
 
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -90,6 +90,7 @@ def judge(hits: DataFrame, repository: str, owner: str, max_owners: int, max_rep
     return marked.groupBy("__text_key").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.stop", F.coalesce("live", F.lit(False)).alias("live")))).alias("__all"))
 
 
+@shielded
 def find_secrets(df: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repositories: int | None = None) -> DataFrame:
     """df without its text, with n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared and live_spans.
 
@@ -97,7 +98,8 @@ def find_secrets(df: DataFrame, text: str = "text", repository: str = "doc_id",
     their documents; max_repositories, if given, bounds these too. n_live counts them, and n_shared the others, which are widely copied examples. spans holds the base
     spans and the live generic ones. A null owner or repository counts as one of its own; null and empty texts have no
     spans (empty string, its digest). Rows that repeat get the same result. Input columns with the names of outputs are
-    replaced.
+    replaced. Texts are scanned whole, however long; an empty table gives an empty result. max_owners is a number, and not a
+    share: in a table of max_owners owners or fewer nothing counts as shared.
     """
     outputs = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_shared", "live_spans"]
     scanned = checkpoint(scan(with_outputs(df, outputs), text))  # a few bytes a document: texts are read once
@@ -128,6 +130,7 @@ def find_secrets(df: DataFrame, text: str = "text", repository: str = "doc_id",
     )
 
 
+@shielded
 def redact_live(df: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", mask: str = "[SECRET]", max_owners: int = 2, max_repositories: int | None = None) -> DataFrame:
     """df with the spans of live-looking values in its texts replaced by mask (touching spans by one); every row stays, examples too.
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import table, with_outputs
+from trajecta.llm.common import shielded, table, with_outputs
 
 RING = 1 << 14
 
@@ -64,6 +64,7 @@ def place(counts: dict[int, int], n_shards: int, epsilon: float = 0.0, virtual_n
     return out
 
 
+@shielded
 def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = 40, epsilon: float = 0.0, virtual_nodes: int = 64) -> DataFrame:
     """df's rows with size, text_crc32, law, shard, slot and grown_shard; text itself is dropped after it is measured.
 

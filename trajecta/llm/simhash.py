@@ -3,7 +3,8 @@
 Reference fingerprints (pivots) stand in for the fingerprints. The 64 bits fall into PARTS parts; two fingerprints at
 most LINK = 3 bits apart agree on at least PARTS - 3 of them, so for one choice of parts (a table) their distances to
 all pivots, measured within those parts, are the same. Each table therefore deals fingerprints out by these distances:
-only fingerprints with equal rows meet. Of what meets, pairs whose distances to the full-width pivots differ by more
+only fingerprints with equal rows meet, which comes to a join of equal parts that goes before the search by coordinates
+(cells of distances to full-width pivots alone hold far too many: these all lie near 32). Of what meets, pairs whose distances to the full-width pivots differ by more
 than 3 in some coordinate are discarded (the triangle inequality), and the survivors are verified bit by bit. No pair
 within 3 bits is missed. Groups larger than a block are dealt out once more, as pairs of blocks, and a task passes on
 only as many links as keep what it saw connected.
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import arrow_map, checkpoint, map_batches, table, with_outputs
+from trajecta.llm.common import arrow_map, checkpoint, map_batches, shielded, table, with_outputs
 from trajecta.llm.components import connected_components
 
 SEED, SHINGLE, LINK, PARTS = 42, 3, 3, 5
@@ -191,11 +192,13 @@ def near_duplicates(marked: DataFrame, key: str = "doc_id") -> DataFrame:
     return marked.join(named, "__fp")
 
 
+@shielded
 def simhash_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df without its text, with fingerprint (16 hex digits) and component_id.
 
     Null and empty texts have the fingerprint zero and are linked like any other; shorter texts than a shingle are hashed
-    whole; repeated rows share their fingerprint. Input columns with the names of outputs are replaced.
+    whole, however long; repeated rows share their fingerprint. Input columns with the names of outputs are replaced. An
+    empty table gives an empty result.
     """
     marked = checkpoint(with_fingerprint(with_outputs(df, ["fingerprint", "component_id"]), text))
     out = near_duplicates(marked, key)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.llm.bloom import HIT, MAX_BYTES, block_and_masks, blocks_for, bloom_table
-from trajecta.llm.common import lower_ascii, with_outputs
+from trajecta.llm.common import lower_ascii, shielded, with_outputs
 
 #: (verdict, host and path) of the production list.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -31,6 +31,7 @@ def rule_table(spark: SparkSession, rules: tuple[tuple[str, str], ...]) -> DataF
     return spark.createDataFrame([tuple(r) for r in rules], "verdict string, rule string")
 
 
+@shielded
 def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", bits_per_key: int = 16, max_filter_bytes: int = MAX_BYTES) -> DataFrame:
     """df with host, path, rule and verdict.
 
