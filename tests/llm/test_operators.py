@@ -86,11 +86,11 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     table = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
     table += [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [None] * 16), (None, table[0][1]), (9004, [1.0]), table[3], (9005, [])]
     df = spark.createDataFrame(table, "vec_id long, embedding array<float>")
-    neighbours.LEAF, before = 256, neighbours.LEAF
+    neighbours.HOME, before = 256, neighbours.HOME  # several homes
     try:
         out = rows(neighbours.nearest_neighbours(df, neighbours.F.expr("vec_id % 50 = 0 or vec_id = 7")))
     finally:
-        neighbours.LEAF = before
+        neighbours.HOME = before
     assert {o["vec_id"] for o in out} <= set(range(3000)) and len(out) == 10 * 61
     hit = 0
     for q in {o["query_id"] for o in out}:

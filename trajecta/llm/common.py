@@ -47,19 +47,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As checkpoint, but compressed, as a Parquet table in the same folder: for rows that hold texts, and where Spark should know the size."""
+    """As checkpoint, but compressed, as a Parquet table in the same folder: for rows that hold texts, where Spark should know the size, and in loops.
+
+    (A checkpoint keeps the estimated size of its plan. A join's estimate is the product of its sides', so that in a loop
+    the estimates come to have millions of digits.)
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what written() stored for df; for loops whose next step is stored."""
+    _written.remove(df._written_at)
+    _delete(df.sparkSession, df._written_at)
 
 
 def discard_written(spark: SparkSession, keep: int = 0) -> None:
     """Delete the tables that written() made after the first so many of this session; for callers that have stored their result."""
-    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
     while len(_written) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def written_so_far() -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import checkpoint
+from trajecta.llm.common import discard, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each step links nodes to smaller ones: large-star a node's larger neighbours, small-star its smaller ones, to the
     smallest of all. They end as stars. Minima add up partial ones, so a hub needs no large task.
     """
-    state = checkpoint(_down(edges.select("a", "b")))
+    state = written(_down(edges.select("a", "b")))
     before = None
     while True:
         ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = _down(both.where("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        state = checkpoint(_down(small))
+        old, state = state, written(_down(small))
+        discard(old)
         mark = tuple(state.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if mark == before:
             break

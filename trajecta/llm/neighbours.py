@@ -1,10 +1,14 @@
 """Approximate nearest neighbours: NN-descent and greedy graph search.
 
-Equal vectors form one node. Random-projection trees, fitted on a bounded sample, deal the nodes out to leaves; exact
-search within leaves gives a first graph. NN-descent then joins each node's neighbours (its own and those that list it)
-with one another: neighbours of neighbours become candidates, and every node keeps its nearest. The vectors that a leaf's
-joins need travel to it once. Queries walk the graph: each holds a list of its nearest nodes so far, and rounds of joins
-look up the neighbours of those not yet expanded, until all of the list are.
+Equal vectors form one node. Every node has a home, a task's share of nodes; trees of random hyperplanes, fitted on a
+bounded sample, put near nodes into one home, and homes do not grow with the table. The first graph is random: nodes are
+dealt out into small groups several times, and the members of a group list each other. NN-descent then joins, round by
+round, each node's neighbours (some of its own and some of those that list it, new ones with all, old ones with new
+ones) with one another: neighbours of neighbours become candidates, and every node keeps its nearest. A round is four
+joins by home: lists go to those that they name, requests to the homes of the members, vectors back, and candidates to
+the nodes that they may suit. Queries walk the graph: each holds its nearest nodes so far, and rounds of joins look up
+the neighbours of those not yet expanded, until all of the list are. The whole list is measured again on the original
+vectors in double precision.
 """
 
 from __future__ import annotations
@@ -17,15 +21,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import checkpoint, table
+from trajecta.llm.common import arrow_map, checkpoint, discard, table, written
 
-SAMPLE, LEAF, TREES = 8192, 2048, 3
-EDGES = "node long, home int, w long, whome int, d float, rank int"
+SAMPLE, HOME, DEALS, PER_HOME = 8192, 4096, 4, 8  # PER_HOME: candidates that a home names for a node
+PAIRS = 1 << 20  # distances of members at a time
+STATE = "node long, home int, vec binary, w binary, whome binary, d binary, fresh binary"
+MESSAGE = "home int, kind int, src int, a binary, b binary, c binary, d binary"
+FORWARD, REVERSE, MEMBERS, REQUEST, REPLY, CANDIDATES = range(6)
 
 
-def _matrix(column: pd.Series | pa.Array) -> np.ndarray:
-    values = column.to_pylist() if isinstance(column, pa.Array) else column.tolist()
-    return np.frombuffer(b"".join(values), np.float32).reshape(len(values), -1)
+def encode(rows: np.ndarray) -> np.ndarray:
+    """Rows of numbers of at most 1 as rows of bytes: a scale and half-precision shares of it."""
+    scale = np.abs(rows).max(axis=1, keepdims=True).astype(np.float32)
+    half = (rows / np.where(scale > 0, scale, 1)).astype(np.float16)
+    return np.concatenate([scale.view(np.uint8), half.view(np.uint8)], axis=1)
+
+
+def decode(raw: np.ndarray) -> np.ndarray:
+    raw = np.ascontiguousarray(raw)
+    return raw[:, 4:].copy().view(np.float16).astype(np.float32) * raw[:, :4].copy().view(np.float32)
+
+
+def _bytes(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+
+
+def _joined(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind)
 
 
 class Tree:
@@ -51,183 +73,329 @@ class Tree:
         return place - ((1 << self.depth) - 1)
 
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers in the place of random ones, from whole numbers."""
+    x = (x.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def _first(group: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Places of the first so many of each group by order, group after group."""
+    at = np.lexsort((order, group))
+    g = group[at]
+    start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
+    rank = np.arange(len(g)) - np.repeat(start, np.diff(np.concatenate((start, [len(g)]))))
+    return at[rank < most]
+
+
+def _nearest(u: np.ndarray, w: np.ndarray, d: np.ndarray, fresh: np.ndarray, most: int) -> np.ndarray:
+    """Places of the nearest so many distinct w of each u, ties to the smaller w; of the same pair the one that is not fresh."""
+    at = np.lexsort((fresh, w, u))
+    new = np.ones(len(at), bool)
+    new[1:] = (u[at][1:] != u[at][:-1]) | (w[at][1:] != w[at][:-1])
+    at = at[new]
+    return at[_first(u[at], d[at], most)]
+
+
+class Lists:
+    """The lists of a home's nodes in flat arrays, by node."""
+
+    def __init__(self, pdf: pd.DataFrame) -> None:
+        pdf = pdf.sort_values("node")
+        self.node, self.vec = pdf["node"].to_numpy(), pdf["vec"].tolist()
+        n = np.array([len(x) // 8 for x in pdf["w"]], np.int64)
+        self.u = np.repeat(self.node, n)
+        self.w, self.whome = _joined(pdf["w"], np.int64), _joined(pdf["whome"], np.int32)
+        self.d, self.fresh = _joined(pdf["d"], np.float32), _joined(pdf["fresh"], np.uint8)
 
+    def sample(self, most: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of at most so many fresh entries of each node, and of as many others."""
+        order = _mixed(self.u * 31 + self.w, turn)
+        fresh, old = np.flatnonzero(self.fresh), np.flatnonzero(self.fresh == 0)
+        return fresh[_first(self.u[fresh], order[fresh], most)], old[_first(self.u[old], order[old], most)]
 
-def _halves(rows: np.ndarray, at: np.ndarray, seed: int) -> Iterator[np.ndarray]:
-    """Blocks of at most two LEAF rows, by random directions."""
-    if len(at) <= 2 * LEAF:
-        yield at
+
+def _state(home: int, node: np.ndarray, vec: list[bytes], u: np.ndarray, w: np.ndarray, whome: np.ndarray, d: np.ndarray, fresh: np.ndarray) -> pd.DataFrame:
+    """Rows of STATE; the flat lists come by node."""
+    a, b = np.searchsorted(u, node), np.searchsorted(u, node, "right")
+    cut = lambda v: [v[s:e].tobytes() for s, e in zip(a, b, strict=True)]
+    return pd.DataFrame({"node": node, "home": np.int32(home), "vec": vec, "w": cut(w.astype(np.int64)), "whome": cut(whome.astype(np.int32)), "d": cut(d.astype(np.float32)), "fresh": cut(fresh.astype(np.uint8))})
+
+
+def _messages(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["home", "kind", "src", "a", "b", "c", "d"]).astype({"home": "int32", "kind": "int32", "src": "int32"})
+
+
+def _by_home(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(to):
         return
-    side = rows[at] @ np.random.Generator(np.random.Philox(key=seed)).standard_normal(rows.shape[1]).astype(np.float32)
-    order = at[np.argsort(side, kind="stable")]
-    yield from _halves(rows, order[: len(at) // 2], 2 * seed)
-    yield from _halves(rows, order[len(at) // 2 :], 2 * seed + 1)
+    order = np.argsort(to, kind="stable")
+    start = np.flatnonzero(np.concatenate(([True], to[order][1:] != to[order][:-1])))
+    for s, e in zip(start, [*start[1:], len(to)], strict=True):
+        yield int(to[order[s]]), order[s:e]
 
 
-def first_edges(placed: DataFrame, degree: int) -> DataFrame:
-    """Edges from exact search within each (tree, leaf) of placed (tree, leaf, node, home, vec)."""
+def first_graph(nodes: DataFrame, count: int, degree: int) -> DataFrame:
+    """STATE of a random graph from nodes (node, home, vec); if a list can hold all others, it does."""
+    groups = 1 if count <= degree + 1 else count // (degree // DEALS + 1)
+    dealt = nodes.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1 if groups > 1 else 0)))).withColumn("g", F.pmod(F.xxhash64("node", "deal"), F.lit(groups)))
+    dealt = dealt.withColumn("block", F.floor(F.col("g") / 64))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["g", "node"])
+        rows, node, home = decode(_bytes(pdf["vec"].tolist())), pdf["node"].to_numpy(), pdf["home"].to_numpy()
+        out = []
+        for _, at in _by_home(pdf["g"].to_numpy()):
+            x = rows[at]
+            d = ((x[:, None] - x[None]) ** 2).sum(2)
+            i, j = np.nonzero(~np.eye(len(at), dtype=bool))
+            out.append((node[at[i]], home[at[i]], node[at[j]], home[at[j]], d[i, j]))
+        u, uhome, w, whome, d = (np.concatenate([x[k] for x in out]) for k in range(5))
+        return _messages([(h, CANDIDATES, -1, u[at].tobytes(), w[at].tobytes(), whome[at].astype(np.int32).tobytes(), d[at].astype(np.float32).tobytes()) for h, at in _by_home(uhome)])
+
+    blank = nodes.select("node", "home", "vec", *[F.lit(b"").alias(c) for c in ("w", "whome", "d", "fresh")])
+    return renewed(blank, dealt.groupBy("deal", "block").applyInPandas(link, MESSAGE), degree, 0, -1)
+
+
+def renewed(state: DataFrame, candidates: DataFrame, degree: int, most: int, turn: int) -> DataFrame:
+    """state with the candidates taken into its lists; entries that this turn's sample held are no longer fresh."""
+
+    def take(key: tuple, pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        own = Lists(pdf)
+        fresh = own.fresh.copy()
+        if most:
+            fresh[own.sample(most, turn)[0]] = 0
+        u, w = (np.concatenate([x, _joined(found[c], np.int64)]) for x, c in ((own.u, "a"), (own.w, "b")))
+        whome, d = np.concatenate([own.whome, _joined(found["c"], np.int32)]), np.concatenate([own.d, _joined(found["d"], np.float32)])
+        fresh = np.concatenate([fresh, np.ones(len(u) - len(fresh), np.uint8)])
+        at = _nearest(u, w, d, fresh, degree)
+        return _state(key[0], own.node, own.vec, u[at], w[at], whome[at], d[at], fresh[at])
+
+    return state.groupBy("home").cogroup(candidates.groupBy("home")).applyInPandas(take, STATE)
+
+
+def descend(state: DataFrame, degree: int, most: int, turn: int) -> DataFrame:
+    """One round of NN-descent: the new STATE, in the place of the old."""
+
+    def forward(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own, out = Lists(pdf), []
+        for at, flag in zip(own.sample(most, turn), (1, 0), strict=True):
+            mark = np.full(len(at), flag, np.uint8)
+            out.append((key[0], FORWARD, key[0], own.u[at].tobytes(), own.w[at].tobytes(), own.whome[at].tobytes(), mark.tobytes()))
+            out += [(h, REVERSE, key[0], own.w[at[k]].tobytes(), own.u[at[k]].tobytes(), b"", mark[k].tobytes()) for h, k in _by_home(own.whome[at])]
+        return _messages(out)
+
+    def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ahead, behind = pdf[pdf["kind"] == FORWARD], pdf[pdf["kind"] == REVERSE]
+        v, m, flag = _joined(behind["a"], np.int64), _joined(behind["b"], np.int64), _joined(behind["d"], np.uint8)
+        mhome = np.repeat(behind["src"].to_numpy(), [len(x) // 8 for x in behind["a"]])
+        at = _first(v * 2 + flag, _mixed(v * 31 + m, turn), most)
+        v, m = (np.concatenate([_joined(ahead[c], np.int64), x[at]]) for c, x in (("a", v), ("b", m)))
+        mhome, flag = np.concatenate([_joined(ahead["c"], np.int32), mhome[at]]).astype(np.int32), np.concatenate([_joined(ahead["d"], np.uint8), flag[at]])
+        at = np.lexsort((1 - flag, m, v))
+        once = np.ones(len(at), bool)  # of a pair that comes twice the fresh one
+        once[1:] = (v[at][1:] != v[at][:-1]) | (m[at][1:] != m[at][:-1])
+        at = at[once]
+        v, m, mhome, flag = v[at], m[at], mhome[at], flag[at]
+        lonely = np.isin(v, v[flag == 1], invert=True)  # without a fresh member nothing is to be joined
+        v, m, mhome, flag = v[~lonely], m[~lonely], mhome[~lonely], flag[~lonely]
+        ids, one = np.unique(m, return_index=True)
+        out = [(key[0], MEMBERS, key[0], v.tobytes(), m.tobytes(), mhome.tobytes(), flag.tobytes())]
+        return _messages(out + [(h, REQUEST, key[0], ids[k].tobytes(), b"", b"", b"") for h, k in _by_home(mhome[one])])
+
+    def reply(key: tuple, pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(asked):
+            return _messages([])
         pdf = pdf.sort_values("node")
-        rows, node, home = _matrix(pdf["vec"]), pdf["node"].to_numpy(), pdf["home"].to_numpy()
+        node, vec = pdf["node"].to_numpy(), _bytes(pdf["vec"].tolist())
+        worst = np.array([np.frombuffer(x, np.float32)[-1] if len(x) == 4 * degree else np.inf for x in pdf["d"]], np.float32)
         out = []
-        for at in _halves(rows, np.arange(len(rows)), 1 + int(pdf["tree"].iloc[0])):
-            k = min(degree, len(at) - 1)
-            for a in range(0, len(at), 512):
-                d = _squared(rows[at[a : a + 512]], rows[at])
-                d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-                if k:
-                    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                    out.append((np.repeat(at[a : a + 512], k), at[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
-        if not out:
-            return pd.DataFrame({"node": [], "home": [], "w": [], "whome": [], "d": [], "rank": []})
-        u, w, d = (np.concatenate([x[i] for x in out]) for i in range(3))
-        return pd.DataFrame({"node": node[u], "home": home[u], "w": node[w], "whome": home[w], "d": d, "rank": np.int32(0)})
-
-    return placed.groupBy("tree", "leaf").applyInPandas(run, EDGES)
-
-
-def nearest_edges(edges: DataFrame, degree: int) -> DataFrame:
-    """Of each node's edges the nearest distinct ones, ranked from 1. Homes keep a leaf's nodes together."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, w, d = pdf["node"].to_numpy(), pdf["w"].to_numpy(), pdf["d"].to_numpy()
-        order = np.lexsort((d, w, node))
-        new = np.ones(len(order), bool)
-        new[1:] = (node[order][1:] != node[order][:-1]) | (w[order][1:] != w[order][:-1])
-        order = order[new]
-        order = order[np.lexsort((w[order], d[order], node[order]))]
-        own = node[order]
-        start = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
-        rank = np.arange(len(order)) - np.repeat(start, np.diff(np.concatenate((start, [len(order)])))) + 1
-        out = pdf.iloc[order[rank <= degree]].copy()
-        out["rank"] = rank[rank <= degree].astype(np.int32)
-        return out
-
-    return edges.groupBy("home").applyInPandas(run, EDGES)
-
-
-def backward(edges: DataFrame, most: int) -> DataFrame:
-    """(v, vhome, u): for each node the nearest of those that list it."""
-    order = Window.partitionBy("w").orderBy("d", "node")
-    return edges.select("node", "w", "whome", "d").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select(F.col("w").alias("v"), F.col("whome").alias("vhome"), F.col("node").alias("u"))
-
-
-def descend(edges: DataFrame, nodes: DataFrame, degree: int, joined: int) -> DataFrame:
-    """One round of NN-descent. nodes: node, home, vec."""
-    members = edges.where(F.col("rank") <= joined).select(F.col("node").alias("v"), F.col("home").alias("vhome"), F.col("w").alias("u")).unionByName(backward(edges.where(F.col("rank") <= joined), joined))
-    worst = edges.groupBy("node").agg(F.max(F.when(F.col("rank") == degree, F.col("d"))).alias("worst"))
-    known = nodes.join(worst, "node", "left").select(F.col("node").alias("u"), F.col("home").alias("uhome"), "vec", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
-    needed = members.select(F.col("vhome").alias("at"), "u").distinct().join(known, "u").select("at", F.col("u").alias("id"), "uhome", "vec", "worst")
-
-    def run(groups: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"node": [], "home": [], "w": [], "whome": [], "d": [], "rank": []})
-        if not len(groups) or not len(vectors):
-            return none
-        vectors = vectors.sort_values("id")
-        ids, rows, worst, home = vectors["id"].to_numpy(), _matrix(vectors["vec"]), vectors["worst"].to_numpy(), vectors["uhome"].to_numpy()
-        norm = (rows * rows).sum(1)
-        groups = groups.drop_duplicates().sort_values("v", kind="stable")
-        v, at = groups["v"].to_numpy(), np.searchsorted(ids, groups["u"].to_numpy())
-        cut = np.concatenate(([0], np.flatnonzero(v[1:] != v[:-1]) + 1, [len(v)]))
+        for src, raw in zip(asked["src"], asked["a"], strict=True):
+            at = np.searchsorted(node, np.frombuffer(raw, np.int64))
+            out.append((src, REPLY, key[0], raw, vec[at].tobytes(), worst[at].tobytes(), b""))
+        return _messages(out)
+
+    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lists, got = pdf[pdf["kind"] == MEMBERS], pdf[pdf["kind"] == REPLY]
+        if not len(lists) or not len(got):
+            return _messages([])
+        ids = _joined(got["a"], np.int64)
+        homes = np.repeat(got["src"].to_numpy(), [len(x) // 8 for x in got["a"]]).astype(np.int32)
+        raw, worst = _joined(got["b"], np.uint8).reshape(len(ids), -1), _joined(got["c"], np.float32)
+        order = np.argsort(ids)
+        ids, homes, raw, worst = ids[order], homes[order], raw[order], worst[order]
+        v, m, flag = _joined(lists["a"], np.int64), np.searchsorted(ids, _joined(lists["b"], np.int64)), _joined(lists["d"], np.uint8)
+        start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate((start, [len(v)])))
+        wide = int(size.max()) if len(size) else 0
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        held = 0
 
         def shrink() -> None:
-            nonlocal size
-            a, b, d = (np.concatenate([x[i] for x in [*kept, *found]]) for i in range(3))
-            order = np.lexsort((d, b, a))
-            new = np.ones(len(order), bool)
-            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-            order = order[new]
-            order = order[np.lexsort((d[order], a[order]))]
-            own = a[order]
-            start = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
-            rank = np.arange(len(order)) - np.repeat(start, np.diff(np.concatenate((start, [len(order)]))))
-            order = order[rank < degree]
-            kept[:], found[:], size = [(a[order], b[order], d[order])], [], 0
-
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            m = at[s:e]
-            x = rows[m]
-            d = norm[m][:, None] + norm[m][None] - 2 * x @ x.T
-            i, j = np.nonzero(d < worst[m][:, None])
-            other = i != j
-            i, j = i[other], j[other]
-            found.append((m[i], m[j], np.maximum(d[i, j], 0)))
-            size += len(i)
-            if size > 2_000_000:
+            nonlocal held
+            a, b, d = (np.concatenate([x[k] for x in found]) for k in range(3))
+            at = _nearest(a, b, d, np.zeros(len(a), np.uint8), PER_HOME)
+            found[:] = [(a[at], b[at], d[at])]
+            held = len(at)
+
+        for s in range(0, len(start), step := max(1, PAIRS // max(1, wide * wide))):
+            own, n = start[s : s + step], size[s : s + step]
+            place = np.minimum(own[:, None] + np.arange(wide), len(v) - 1)
+            real = np.arange(wide) < n[:, None]
+            who, new = m[place], (flag[place] == 1) & real
+            x = decode(raw[who.ravel()]).reshape(len(own), wide, -1)
+            norm = (x * x).sum(2)
+            d = np.maximum(norm[:, :, None] + norm[:, None] - 2 * x @ x.transpose(0, 2, 1), 0)
+            fine = (new[:, :, None] | new[:, None]) & real[:, :, None] & real[:, None] & (who[:, :, None] != who[:, None]) & (d < worst[who][:, :, None])
+            if wide > PER_HOME and fine.sum() > PER_HOME * real.sum() // 2:  # no more than so many of one join can be named
+                d = np.where(fine, d, np.inf)
+                j = np.argpartition(d, PER_HOME - 1, axis=2)[:, :, :PER_HOME]
+                d = np.take_along_axis(d, j, 2)
+                c, i, k = np.nonzero(d < np.inf)
+                j, d = j[c, i, k], d[c, i, k]
+            else:
+                c, i, j = np.nonzero(fine)
+                d = d[c, i, j]
+            found.append((who[c, i], who[c, j], d))
+            held += len(c)
+            if held > 2 * PAIRS:
                 shrink()
-        if found:
-            shrink()
-        a, b, d = kept[0]
-        return pd.DataFrame({"node": ids[a], "home": home[a], "w": ids[b], "whome": home[b], "d": d, "rank": np.int32(0)}) if len(a) else none
-
-    better = members.groupBy("vhome").cogroup(needed.groupBy("at")).applyInPandas(run, EDGES)
-    return nearest_edges(edges.unionByName(better), degree)
-
-
-def build_graph(nodes: DataFrame, count: int, degree: int, joined: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes with their homes, edges) from nodes (node, vec as float bytes)."""
+        if not found:
+            return _messages([])
+        shrink()
+        a, b, d = found[0]
+        return _messages([(h, CANDIDATES, key[0], ids[a[k]].tobytes(), ids[b[k]].tobytes(), homes[b[k]].tobytes(), d[k].astype(np.float32).tobytes()) for h, k in _by_home(homes[a])])
+
+    sent = state.drop("vec").withColumn("vec", F.lit(b"")).groupBy("home").applyInPandas(forward, MESSAGE)
+    lists = written(sent.groupBy("home").applyInPandas(gather, MESSAGE))
+    replies = state.select("node", "home", "vec", "d").groupBy("home").cogroup(lists.where(F.col("kind") == REQUEST).groupBy("home")).applyInPandas(reply, MESSAGE)
+    candidates = lists.where(F.col("kind") == MEMBERS).unionByName(replies).groupBy("home").applyInPandas(join, MESSAGE)
+    out = written(renewed(state, candidates, degree, most, turn))
+    discard(lists)
+    discard(state)
+    return out
+
+
+def build_graph(nodes: DataFrame, count: int, degree: int, most: int, rounds: int) -> DataFrame:
+    """STATE of the graph of nodes (node, vec); rounds end early when less than one list entry in ten nodes changes."""
     every = max(1, count // SAMPLE)
-    sample = _matrix(pd.Series([bytes(r["vec"]) for r in nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("vec").limit(3 * SAMPLE).collect()] or [bytes(nodes.first()["vec"])]))
-    depth = max(0, min(int(np.ceil(np.log2(max(1, count / LEAF)))), int(np.log2(max(1, len(sample) / 8)))))
-    trees = [Tree(sample, depth, 11 + t) for t in range(TREES)]
+    rows = nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("vec").limit(3 * SAMPLE).collect() or [nodes.first()]
+    sample = decode(_bytes([bytes(r["vec"]) for r in rows]))
+    depth = max(0, min(int(np.ceil(np.log2(max(1, count / HOME)))), int(np.log2(max(1, len(sample) / 8)))))
+    tree, parts = Tree(sample, depth, 11), max(1, -(-count // (HOME << depth)))  # leaves that would be too large fall into parts by hash
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                rows = _matrix(b.column(1))
-                leaves = [t.leaf(rows).astype(np.int32) for t in trees]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaves[0]), pa.array(np.stack(leaves, 1).tolist(), pa.list_(pa.int32()))], ["node", "vec", "home", "leaves"])
-
-    placed = checkpoint(nodes.select("node", "vec").mapInArrow(route, "node long, vec binary, home int, leaves array<int>"))
-    edges = checkpoint(nearest_edges(first_edges(placed.select("node", "vec", "home", F.posexplode("leaves").alias("tree", "leaf")), degree), degree))
-    homes = placed.select("node", "home", "vec")
-    before = edges.agg(F.sum(F.col("d").cast("double"))).first()[0]
-    for _ in range(rounds if depth else 0):  # one leaf is searched exactly already
-        edges = checkpoint(descend(edges, homes, degree, joined))
-        now = edges.agg(F.sum(F.col("d").cast("double"))).first()[0]
-        if before - now <= 1e-3 * before:
+                leaf = tree.leaf(decode(_bytes(b.column(1).to_pylist())))
+                part = _mixed(b.column(0).to_numpy(), 3) % np.uint64(parts)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((leaf * parts + part.astype(np.int64)).astype(np.int32))], ["node", "vec", "home"])
+
+    placed = checkpoint(arrow_map(nodes.select("node", "vec"), place, "node long, vec binary, home int"))
+    state = written(first_graph(placed, count, degree))
+    for turn in range(rounds):
+        state = descend(state, degree, most, turn)
+        left = state.select(F.length(F.regexp_replace(F.hex("fresh"), "0", "")).alias("n")).agg(F.sum("n")).first()[0] or 0
+        if left <= count // 10:
             break
-        before = now
-    return homes, edges
-
-
-def walk(queries: DataFrame, homes: DataFrame, edges: DataFrame, degree: int, beam: int, step: int) -> DataFrame:
-    """For each query node its list of (d, w), nearest first. queries: node. Starts at the node itself and its neighbours."""
-    links = edges.select("node", "w").unionByName(backward(edges, degree).select(F.col("v").alias("node"), F.col("u").alias("w")))
-    near = checkpoint(links.groupBy("node").agg(F.collect_set("w").alias("near")))
-    vectors = homes.select(F.col("node").alias("w"), F.col("vec").alias("wvec"))
-    own = F.array(F.struct(F.lit(0.0).cast("float").alias("d"), F.col("q").alias("w")))
-    start = edges.join(queries, "node").groupBy(F.col("node").alias("q")).agg(F.array_sort(F.collect_list(F.struct("d", "w"))).alias("listed"))
-    alone = queries.select(F.col("node").alias("q"))
-    state = alone.join(start, "q", "left").join(homes.select(F.col("node").alias("q"), F.col("vec").alias("qvec")), "q")
-    state = state.withColumn("beam", F.concat(own, F.coalesce("listed", F.slice(own, 1, 0))))
-    state = state.select("q", "qvec", "beam", F.col("beam.w").alias("seen"), F.array("q").cast("array<long>").alias("done"))
-
-    def ask(s: DataFrame) -> DataFrame:
-        todo = F.slice(F.filter(F.col("beam.w"), lambda w: ~F.array_contains("done", w)), 1, step)
-        return s.withColumn("ask", todo).withColumn("done", F.concat("done", "ask"))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return state
+
+
+def walk(queries: DataFrame, state: DataFrame, degree: int, beam: int, step: int) -> DataFrame:
+    """(q, w): for each query node its list. queries: node, home, vec. Starts at the node itself."""
+    names = "q long, home int, qvec binary, w binary, whome binary, d binary, done binary"
+
+    def back(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = Lists(pdf)
+        return _messages([(h, REVERSE, key[0], own.w[k].tobytes(), own.u[k].tobytes(), b"", own.d[k].tobytes()) for h, k in _by_home(own.whome)])
+
+    def both(key: tuple, pdf: pd.DataFrame, behind: pd.DataFrame) -> pd.DataFrame:
+        own = Lists(pdf)
+        v, w, d = _joined(behind["a"], np.int64), _joined(behind["b"], np.int64), _joined(behind["d"], np.float32)
+        home = np.repeat(behind["src"].to_numpy(), [len(x) // 8 for x in behind["a"]])
+        at = _first(v, d, degree)
+        u, w, home, d = np.concatenate([own.u, v[at]]), np.concatenate([own.w, w[at]]), np.concatenate([own.whome, home[at]]), np.concatenate([own.d, d[at]])
+        at = _nearest(u, w, d, np.zeros(len(u), np.uint8), 2 * degree)
+        return _state(key[0], own.node, own.vec, u[at], w[at], home[at], d[at], np.zeros(len(at), np.uint8))
+
+    narrow = state.drop("vec").withColumn("vec", F.lit(b""))
+    near = written(narrow.groupBy("home").cogroup(narrow.groupBy("home").applyInPandas(back, MESSAGE).groupBy("home")).applyInPandas(both, STATE))
+    vectors = state.select("node", "home", "vec")
+
+    def look_up(key: tuple, pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """The neighbours of what each query asks for here, by their homes."""
+        own, out = Lists(pdf), []
+        for q, raw, qvec in zip(asked["src"], asked["a"], asked["b"], strict=True):
+            ids = np.frombuffer(raw, np.int64)
+            at = np.concatenate([np.arange(s, e) for s, e in zip(np.searchsorted(own.u, ids), np.searchsorted(own.u, ids, "right"), strict=True)] or [np.zeros(0, np.int64)])
+            w, one = np.unique(own.w[at], return_index=True)
+            out += [(h, q, w[k].tobytes(), qvec) for h, k in _by_home(own.whome[at][one])]
+        return pd.DataFrame(out, columns=["home", "src", "a", "b"]).astype({"home": "int32", "src": "int64"})
+
+    def measure(key: tuple, pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """Of the nodes that each query is led to here the nearest."""
+        pdf = pdf.sort_values("node")
+        node, vec, out = pdf["node"].to_numpy(), _bytes(pdf["vec"].tolist()) if len(pdf) else None, []
+        for q, own in asked.groupby("src"):
+            w = np.unique(_joined(own["a"], np.int64))
+            d = ((decode(vec[np.searchsorted(node, w)]) - decode(_bytes([own["b"].iloc[0]]))) ** 2).sum(1)
+            at = np.argsort(d, kind="stable")[:beam]
+            out.append((q, key[0], w[at].tobytes(), d[at].astype(np.float32).tobytes()))
+        return pd.DataFrame(out, columns=["q", "home", "a", "d"]).astype({"q": "int64", "home": "int32"})
+
+    def merge(key: tuple, pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        w, whome, d, done = (np.frombuffer(row[c], t) for c, t in (("w", np.int64), ("whome", np.int32), ("d", np.float32), ("done", np.uint8)))
+        homes = np.repeat(found["home"].to_numpy(), [len(x) // 8 for x in found["a"]])
+        w, whome, d = np.concatenate([w, _joined(found["a"], np.int64)]), np.concatenate([whome, homes]).astype(np.int32), np.concatenate([d, _joined(found["d"], np.float32)])
+        done = np.concatenate([done, np.zeros(len(w) - len(done), np.uint8)])
+        at = _nearest(np.zeros(len(w), np.int64), w, d, 1 - done, beam)  # the one that is done comes first
+        out = {"q": key[0], "home": row["home"], "qvec": row["qvec"], "w": w[at].tobytes(), "whome": whome[at].tobytes(), "d": d[at].tobytes(), "done": done[at].tobytes()}
+        return pd.DataFrame([out]).astype({"home": "int32"})
+
+    def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for q, qvec, w, whome, done in zip(pdf["q"], pdf["qvec"], pdf["w"], pdf["whome"], pdf["done"], strict=True):
+                todo = np.flatnonzero(np.frombuffer(done, np.uint8) == 0)[:step]
+                ids = np.frombuffer(w, np.int64)[todo]
+                out += [(h, q, ids[k].tobytes(), qvec) for h, k in _by_home(np.frombuffer(whome, np.int32)[todo])]
+            yield pd.DataFrame(out, columns=["home", "src", "a", "b"]).astype({"home": "int32", "src": "int64"})
+
+    def expanded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.copy()
+            marks = []
+            for raw in pdf["done"]:
+                done = np.frombuffer(raw, np.uint8).copy()
+                done[np.flatnonzero(done == 0)[:step]] = 1
+                marks.append(done.tobytes())
+            pdf["done"] = marks
+            yield pdf
+
+    note = "home int, src long, a binary, b binary"
+    zero = [F.lit(np.zeros(1, t).tobytes()) for t in (np.float32, np.uint8)]
+
+    def raw_number(c: str, width: int) -> Column:
+        """A whole number as bytes in the order that numpy reads."""
+        return F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 2 * width, "0"), 2 * k + 1, 2) for k in reversed(range(width))]))
+
+    held = written(queries.select(F.col("node").alias("q"), "home", F.col("vec").alias("qvec"), raw_number("node", 8).alias("w"), raw_number("home", 4).alias("whome"), zero[0].alias("d"), zero[1].alias("done")))
+    while held.where(F.locate("00", F.regexp_replace(F.hex("done"), "(..)", "$1 ")) > 0).limit(1).count():
+        asked = held.mapInPandas(asks, note)
+        led = near.groupBy("home").cogroup(asked.groupBy("home")).applyInPandas(look_up, note)
+        found = vectors.groupBy("home").cogroup(led.groupBy("home")).applyInPandas(measure, "q long, home int, a binary, d binary")
+        old, held = held, written(held.mapInPandas(expanded, names).groupBy("q").cogroup(found.groupBy("q")).applyInPandas(merge, names))
+        discard(old)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                d = _matrix(b.column(2)) - _matrix(b.column(3))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", d, d))], ["q", "w", "d"])
+            w = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            if w:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in w])), pa.array(np.concatenate(w))], ["q", "w"])
 
-    state = checkpoint(ask(state))
-    while state.where(F.size("ask") > 0).limit(1).count():
-        asked = state.select("q", F.explode("ask").alias("node")).join(near, "node").groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("found"))
-        state = checkpoint(state.join(asked, "q", "left").withColumn("new", F.coalesce(F.array_except("found", "seen"), F.array().cast("array<long>"))).drop("found", "ask"))
-        pairs = state.select("q", "qvec", F.explode("new").alias("w")).join(vectors, "w").select("q", "w", "qvec", "wvec")
-        best = pairs.mapInArrow(measure, "q long, w long, d float").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "w"))), 1, beam).alias("more"))
-        grown = state.join(best, "q", "left").withColumn("beam", F.slice(F.array_sort(F.concat("beam", F.coalesce("more", F.slice("beam", 1, 0)))), 1, beam))
-        state = checkpoint(ask(grown.select("q", "qvec", "beam", F.concat("seen", "new").alias("seen"), "done")))
-    return state.select(F.col("q").alias("node"), "beam")
+    return held.select("q", "w").mapInArrow(listed, "q long, w long")
 
 
 def clean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -241,36 +409,39 @@ def clean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("vec") == (length["n"] if length else 0))
 
 
-def nearest_neighbours(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, degree: int = 32, joined: int = 16, rounds: int = 4, beam: int = 400, step: int = 128) -> DataFrame:
+def nearest_neighbours(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, degree: int = 32, sample: int = 16, rounds: int = 10, beam: int = 192, step: int = 96) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean, in double precision) of the k nearest rows found for each query.
 
     is_query is a condition on the column vec_id. Rows with a null id and vectors that are null, zero, of another length
     than most or hold null or non-finite parts take no part; rows that repeat an id with the same vector count once. Equal
     vectors are one node of the graph, and each brings its k + 1 smallest ids, which is all that can rank. Ties go to
-    the smaller id; a query with fewer candidates returns them all. Empty tables give an empty result.
+    the smaller id; a query with fewer candidates returns them all. The graph is built and walked on half-precision
+    copies, in which vectors below 1e-38 of the largest number count as zero; what is found is measured on the vectors
+    themselves. Empty tables give an empty result; other columns are
+    left out.
     """
     rows = checkpoint(clean_vectors(df, key, vector).select("vec_id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2")))
     spark = df.sparkSession
     kinds = checkpoint(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.min_by("vec", "vec_id").alias("vec"), F.count("*").alias("n")))
-    count = kinds.count()
+    head = kinds.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))).alias("top")).first()
+    count, top = head["n"], head["top"]
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in values], pa.binary())], ["node", "vec"])
-
-    nodes = kinds.select("node", "vec").mapInArrow(pack, "node long, vec binary")
-    homes, edges = build_graph(nodes, count, degree, joined, rounds)
-    asked = rows.where(is_query).select("vec_id", "h1", "h2").distinct().join(kinds.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "node")
-    asked = checkpoint(asked)
-    found = walk(asked.select("node").distinct(), homes, edges, degree, beam, step)
-    pairs = found.select(F.col("node").alias("q"), F.explode(F.slice(F.col("beam.w"), 1, k + 1)).alias("w"))
-    exact = kinds.select(F.col("node"), F.transform("vec", lambda x: x.cast("double")).alias("v"))
+            if b.num_rows:
+                values = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) / top
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in encode(values)], pa.binary())], ["node", "vec"])
+
+    state = build_graph(arrow_map(kinds.select("node", "vec"), pack, "node long, vec binary"), count, degree, sample, rounds)
+    asked = checkpoint(rows.where(is_query).select("vec_id", "h1", "h2").distinct().join(kinds.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "node"))
+    pairs = walk(state.join(asked.select("node").distinct(), "node", "left_semi"), state, degree, max(beam, k + 1), step)
+    exact = kinds.select("node", F.transform("vec", lambda x: x.cast("double")).alias("v"))
     scored = pairs.join(exact.select(F.col("node").alias("q"), F.col("v").alias("a")), "q").join(exact.select(F.col("node").alias("w"), F.col("v").alias("b")), "w")
     score = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    scored = scored.select("q", "w", score.alias("score"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy("score", "w"))
+    scored = scored.select("q", "w", score.alias("score")).withColumn("place", place).where(F.col("place") <= k + 1).drop("place")  # each node stands for a row at least; a node comes with its smallest id
     twins = kinds.where("n > 1").select("h1", "h2", "node").join(rows.select("h1", "h2", "vec_id").distinct(), ["h1", "h2"])
     first = Window.partitionBy("node").orderBy("vec_id")
     others = twins.select("node", "vec_id").withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1).select(F.col("node").alias("w"), "vec_id")
