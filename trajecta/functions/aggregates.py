@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STATS = ("min", "max", "mean", "sum", "count", "std", "var", "median", "skew", "kurtosis", "sem", "nunique", "first", "last", "prod")
+STATS = ("min", "max", "mean", "sum", "count", "std", "var", "median", "skew", "kurtosis", "sem", "nunique", "first", "last", "prod", "quantile", "mad")
+
 
+def stat(name: str | Callable[[Column], Column], value: Column, selected: Column | None = None, order: Column | None = None) -> Column:
+    """The aggregate of value over selected rows. sum and count are null if no row is selected, 0 if all values are null.
 
-def stat(name: str, value: Column, selected: Column | None = None, order: Column | None = None) -> Column:
-    """The aggregate of value over selected rows. sum and count are null if no row is selected, 0 if all values are null."""
+    name may be a function that makes an aggregate of a column. quantile is the median; mad the mean deviation from the mean.
+    """
     chosen = F.lit(True) if selected is None else F.coalesce(selected, F.lit(False))
     v = F.when(chosen, value.cast("double") if name != "nunique" else value)
+    if callable(name):
+        return name(v)
     n, any_row = F.count(v).cast("double"), F.count_if(chosen) > 0
     flat = F.var_pop(v) == 0
     if name in ("min", "max"):
@@ -26,7 +33,12 @@ def stat(name: str, value: Column, selected: Column | None = None, order: Column
         return F.stddev_samp(v)
     if name == "var":
         return F.var_samp(v)
-    if name == "median":
+    if name == "mad":
+        values = F.collect_list(v)
+        total = F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+        mean = total / F.size(values)
+        return F.when(F.size(values) > 0, F.aggregate(F.transform(values, lambda u: F.abs(u - mean)), F.lit(0.0), lambda a, b: a + b) / F.size(values))
+    if name in ("median", "quantile"):
         return F.median(v)
     if name == "sem":
         return F.stddev_samp(v) / F.sqrt(n)

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.operators import fixations, kernels, maps, paths, preprocess, tables
+from trajecta.operators import features as P
+from trajecta.operators import fixations, kernels, maps, paths, preprocess, reports, tables
 from trajecta.operators.grouped import Kernel
+from trajecta.operators.measures import numbered
+from trajecta.plans import batteries
 from trajecta.plans.extractor import Extractor
 from trajecta.registry import NUMBERED, R, U, W, add, over_events
 from trajecta.sources.tables import EVENTS_SQL
+from trajecta.streaming import steps
 
 
 def values(rows: list[tuple]) -> str:
@@ -165,3 +171,61 @@ select user_id, 'point' as layer, seq, case when duration < top then floor(durat
 # --- splits and matrices
 add("splits", ["user_id", "fold"], [], over_events(lambda df: tables.folds(df.select("user_id").distinct(), ["user_id"])), f"with f as ({EVENTS_SQL}), h as (select distinct user_id, cast('0x' || substr(md5('42_' || user_id), 1, 8) as bigint) % 100 as h from f) select user_id, case when h < 60 then 'train' when h < 80 then 'val' else 'test' end as fold from h")
 add("similarity_matrix", ["p", "q"], ["value"], over_events(lambda df: tables.pairwise(df, R, lambda a, b: 1 / (1 + kernels.path_distance("euc", a, b)), similarity=True)), f"""with {NUMBERED}, m as (select cast(a.user_id as varchar) as p, cast(b.user_id as varchar) as q, case when a.user_id = b.user_id then 1 else 1 / (1 + sum(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) end as value from q a join q b on a.seq = b.seq group by a.user_id, b.user_id) select p, q, (value + 1) / (max(value) over () + 1) as value from m""", 6)
+
+# --- statistics, tables, batteries
+_length = f"{NUMBERED}, s as (select *, sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) as length from q {W})"
+add("sac_more_moments", U, [f"sac_length_{n}" for n in ("sem", "prod", "first", "last", "nunique", "quantile", "mad")], over_events(lambda df: Extractor([P.SaccadeFeatures({"length": ("sem", "prod", "first", "last", "nunique", "quantile", "mad")})], R).transform(df)), f"""with {_length}, m as (select user_id, avg(length) as m from s group by 1)
+select s.user_id, stddev_samp(length) / sqrt(count(length)) as sac_length_sem, product(length) as sac_length_prod, arg_min(length, (t, event_id)) filter (length is not null) as sac_length_first, arg_max(length, (t, event_id)) filter (length is not null) as sac_length_last,
+ count(distinct length) as sac_length_nunique, median(length) as sac_length_quantile, avg(abs(length - m)) as sac_length_mad from s join m on m.user_id = s.user_id group by 1""", 6)
+add("auc", [], ["auc"], over_events(lambda df: tables.auc(df.withColumn("truth", (F.col("event_id") % 3 == 0).cast("int")).withColumn("score", F.floor(F.col("x") * 100)), "truth", "score")), f"""with f as (select event_id % 3 = 0 as truth, floor(x * 100) as s from ({EVENTS_SQL})), c as (select s, count_if(truth) as p, count_if(not truth) as n from f group by 1), r as (select p, n, coalesce(sum(n) over (order by s rows between unbounded preceding and 1 preceding), 0) as below from c)
+select sum(p * (below + n / 2.0::double)) / (sum(p) * sum(n)) as auc from r""")
+_areas = ("click", "error", "purchase", "signup", "view")
+add("pivot", ["cohort", *_areas], [], over_events(lambda df: tables.pivoted(df, ["cohort"], "aoi", F.count("event_id"))), f"with f as ({EVENTS_SQL}) select cohort, {', '.join(f"""nullif(count_if(aoi = '{a}'), 0) as {a}""" for a in _areas)} from f group by 1")
+_names = [f"simple_{c}" for c in ("fix_duration_mean", "fix_duration_sum", "sac_length_mean")] + ["spectral_spectral_entropy"]
+add("merge_batteries", U, _names, over_events(lambda df: batteries.merge_batteries({"simple": batteries.simple_battery(R).transform(df), "spectral": Extractor([P.SpectralEntropy()], R).transform(df.where("cohort < 5"))}, ["user_id"])), f"""with {_length}, a as (select user_id, avg(duration) as d, sum(duration) as ds, avg(length) as l from s group by 1), e as (select user_id, x*x + y*y as r from q where cohort < 5), b as (select user_id, ln(sum(r)) - sum(case when r > 0 then r * ln(r) else 0 end) / sum(r) as h from e group by 1)
+select a.user_id, d as simple_fix_duration_mean, ds as simple_fix_duration_sum, l as simple_sac_length_mean, h as spectral_spectral_entropy from a left join b on a.user_id = b.user_id""")
+_distances = [f"{m}_dist_{h}" for h in ("mean", "fwp") for m in ("euc", "dtw", "hau")]
+add("distance_battery", U, _distances, over_events(lambda df: batteries.distance_battery(df, df.where("user_id % 2 = 0"), R, ("euc", "dtw", "hau"))), None, 5)
+add("extended_battery", U, ["sac_length_median", "reg_mask_sum", "fix_duration_kurtosis"], over_events(lambda df: batteries.extended_battery(R).transform(df)), f"""with {_length}, a as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy from s {W}), b as (select *, {_angle} as turn from a)
+select user_id, median(length) as sac_length_median, sum(coalesce((turn - 360 * floor(turn / 360)) between 135 and 225 and dx is not null, false)::int)::double as reg_mask_sum, case when count(duration) >= 4 then kurtosis(duration) end as fix_duration_kurtosis from b group by 1""", 6)
+
+
+def _eyes(df: DataFrame) -> DataFrame:
+    """An openness signal of 100 samples a second: an eye that closes every 0.4 s, each time deeper."""
+    rows = numbered(df, R).withColumn("at", (F.col("seq") % 40 - 20) / 4.0)
+    return rows.select("user_id", "event_id", (F.col("seq") * 10.0).alias("t"), (1 - (0.6 + 0.01 * F.floor(F.col("seq") / 40)) * F.exp(-F.col("at") * F.col("at"))).alias("eo"))
+
+
+add("topological_features", U, ["time", "curve", "entropy"], over_events(lambda df: reports.topological_features(df, R, 0.6, 0.5, 6)), None, 6)
+add("openness_blinks", U, ["onset", "offset", "duration", "openness_at_peak"], over_events(lambda df: preprocess.openness_blinks(_eyes(df), R, "eo", 100.0)), None, 6)
+add("overlap_aoi", ["user_id", "event_id", "AOI"], [], over_events(lambda df: preprocess.extract_areas(df.withColumn("diameters", F.col("dispersion") / 100), R, {"overlap": preprocess.overlap_method("diameters", ("x", "y"))}, ["user_id"], columns=["diameters"])))
+add("ihmm_laplace", ["user_id", "fixation_id"], ["x", "y", "duration"], over_events(lambda df: preprocess.ihmm_fixations(df, R, fixation=(2e-6, 1e-6), saccade=(3e-5, 1e-5), distributions=("laplace", "logistic"))), None, 6)
+add("aoi_match_joined", ["cohort", "user_id", "event_id", "AOI"], [], over_events(lambda df: preprocess.match_areas(fixations.shape_areas(df, R, (("r", (0.1, 0.1), (0.4, 0.5)), ("c", (0.6, 0.6), 0.2), ("e", (0.3, 0.7), (0.3, 0.2), 30.0))), R, ["cohort"], n_aoi=2, centre=True)))
+add("drawings", ["user_id", "channel"], ["total"], over_events(lambda df: maps.images(df, R, ("heatmap_zoomed", "baseline", "aoi_zoomed", "saccade", "gaf_sum"), (16, 16)).select("user_id", "channel", F.aggregate("data", F.lit(0.0), lambda a, b: a + b).alias("total"))), None, 4)
+add("images_and_sequences", ["user_id", "channels", "length"], ["last_y"], over_events(lambda df: maps.images_and_sequences(df, R, ("heatmap", "rqa"), ["x", "y"], (8, 8), 60).select("user_id", F.size("channels").alias("channels"), F.col("length").cast("int").alias("length"), F.col("rows")[59][1].alias("last_y"))), f"with {NUMBERED} select user_id, 2::int as channels, least(count(*), 60)::int as length, coalesce(max(case when seq = 59 then y end), 0) as last_y from q group by 1")
+
+
+# --- matrices between trajectories
+for _how in ("hierarchical", "optimal", "mds", "spectral"):
+    add(f"order_{_how}", ["place", "p"], [], over_events(lambda df, how=_how: (lambda names: df.sparkSession.createDataFrame(list(enumerate(names)), "place int, p string"))(tables.order_rows(tables.pairwise(df, R, lambda a, b: 1 / (1 + kernels.path_distance("euc", a, b))), how))))
+add("rv", [], ["rv"], over_events(lambda df: (lambda a, b: df.sparkSession.createDataFrame([(kernels.rv(kernels.double_centre(a), kernels.double_centre(b)),)], "rv double"))(*[tables.collect_matrix(tables.pairwise(df, R, lambda p, q, m=m: kernels.path_distance(m, p, q)))[1] for m in ("euc", "tde")])), f"""with {NUMBERED}, a as (select a.user_id as p, b.user_id as q, sum(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as v from q a join q b on a.seq = b.seq group by 1, 2), b as (select a.user_id as p, b.user_id as q, avg(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as v from q a join q b on true group by 1, 2),
+c as (select p, q, v - avg(v) over (partition by p) - avg(v) over (partition by q) + avg(v) over () as v from a), d as (select p, q, v - avg(v) over (partition by p) - avg(v) over (partition by q) + avg(v) over () as v from b)
+select sum(c.v * d.v) / sqrt(sum(c.v * c.v) * sum(d.v * d.v)) as rv from c join d on c.p = d.p and c.q = d.q""", 6)
+
+
+# --- streams
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return steps.drained(stream, f"{shared or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4().hex}")
+
+
+add("stream_windows", ["user_id", "start_s", "n"], ["mean", "std"], lambda s, d: _drained(s, steps.windowed_statistics(_stream(s, d), "user_id", "ts", "value", "1 day", "1 hour")).select("user_id", F.unix_timestamp("start").alias("start_s"), "n", "mean", "std"), "select user_id, (epoch_us(ts) // 86400000000) * 86400 as start_s, count(*) as n, avg(value) as mean, stddev_samp(value) as std from events group by 1, 2", 6)
+add("stream_sessions", ["user_id", "n"], ["onset", "offset"], lambda s, d: _drained(s, steps.sessions(_stream(s, d), "user_id", "ts", "6 hours", "1 hour")).select("user_id", "n", (F.unix_micros("onset") / 1000000).alias("onset"), (F.unix_micros("offset") / 1000000).alias("offset")), """with e as (select user_id, epoch_us(ts) as t, case when epoch_us(ts) - lag(epoch_us(ts)) over w < 21600000000 then 0 else 1 end as nw from events window w as (partition by user_id order by ts, event_id)),
+g as (select *, sum(nw) over (partition by user_id order by t rows unbounded preceding) as span from e) select user_id, count(*) as n, min(t) / 1000000.0::double as onset, max(t) / 1000000.0::double as "offset" from g group by user_id, span""", 6)

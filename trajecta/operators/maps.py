@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -72,28 +72,54 @@ def transition_field(df: DataFrame, roles: Roles, value: str, n_bins: int = 10)
     return pairs.join(transition_matrix(df, roles, value, n_bins), [*keys, "a", "b"], "left").select(*keys, "i", "j", F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
-def images(df: DataFrame, roles: Roles, kinds: Sequence[str] = ("heatmap",), shape: tuple[int, int] = (32, 32), n_bins: int = 10) -> DataFrame:
-    """(pk, channel, h, w, data): images of each trajectory, channels by kind: heatmap, gaf (x and y), mtf (x and y), rqa."""
+def _pair(name: str, make: Callable[[np.ndarray], np.ndarray], x: np.ndarray, y: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    return [(f"{name}_x", make(x)), (f"{name}_y", make(y))]
+
+
+#: Images of a trajectory by name: functions of (x, y, t, areas, shape, n_bins) that give channels.
+REPRESENTATIONS: dict[str, Callable[..., list[tuple[str, np.ndarray]]]] = {
+    "heatmap": lambda x, y, t, a, shape, n: [("heatmap", K.heatmap(x, y, shape))],
+    "heatmap_zoomed": lambda x, y, t, a, shape, n: [("heatmap_zoomed", K.heatmap(K.minmax(x), K.minmax(y), shape))],
+    "gaf": lambda x, y, t, a, shape, n: _pair("gaf", lambda v: K.resize(K.gramian(v, t), shape), x, y),
+    "gaf_sum": lambda x, y, t, a, shape, n: _pair("gaf_sum", lambda v: K.resize(K.gramian(v, t, "sum"), shape), x, y),
+    "mtf": lambda x, y, t, a, shape, n: _pair("mtf", lambda v: K.resize(K.transition_field(v, n), shape), x, y),
+    "rqa": lambda x, y, t, a, shape, n: [("rqa", K.resize((np.hypot(x[:, None] - x, y[:, None] - y) <= 0.1).astype(float), shape))],
+} | {
+    f"{name}{'_zoomed' * zoom}": lambda x, y, t, a, shape, n, name=name, zoom=zoom: [(f"{name}{'_zoomed' * zoom}", K.drawing(x, y, shape, name != "aoi", name != "saccade", a if name == "aoi" else None, zoom))]
+    for name in ("baseline", "aoi", "saccade")
+    for zoom in (False, True)
+}
+
+
+def images(df: DataFrame, roles: Roles, kinds: Sequence[str] = ("heatmap",), shape: tuple[int, int] = (32, 32), n_bins: int = 10, labels: DataFrame | None = None) -> DataFrame:
+    """(pk, channel, h, w, data): images of each trajectory, channels by the kinds of REPRESENTATIONS. labels: a table with the key and labels, which are put beside (a key without labels is left out).
+
+    Drawings: baseline has points and steps, saccade steps, aoi points by their area; _zoomed ones fill the image.
+    """
+    if bad := set(kinds) - set(REPRESENTATIONS):
+        raise ValueError(f"unknown images {sorted(bad)}")
+    areas = any(k.startswith("aoi") for k in kinds)
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, t = (pdf[c].to_numpy(float) for c in (roles.x, roles.y, roles.t))
+        shade = None
+        if areas:
+            code, names = pd.factorize(pdf[roles.aoi], sort=True)
+            shade = (code + 1) / (len(names) + 1)  # no area is 0
         if len(x) < 2:
             x, y, t = (np.repeat(v, 2) for v in (x, y, t))
-        out = []
-        for k in kinds:
-            if k == "heatmap":
-                out.append((k, K.heatmap(x, y, shape)))
-            elif k == "gaf":
-                out += [(f"gaf_{n}", K.resize(K.gramian(v, t), shape)) for n, v in (("x", x), ("y", y))]
-            elif k == "mtf":
-                out += [(f"mtf_{n}", K.resize(K.transition_field(v, n_bins), shape)) for n, v in (("x", x), ("y", y))]
-            elif k == "rqa":
-                out.append((k, K.resize((np.hypot(x[:, None] - x, y[:, None] - y) <= 0.1).astype(float), shape)))
-            else:
-                raise ValueError(f"unknown image {k}")
+            shade = None if shade is None else np.repeat(shade, 2)
+        out = [c for k in kinds for c in REPRESENTATIONS[k](x, y, t, shade, shape, n_bins)]
         return pd.DataFrame({"channel": [k for k, _ in out], "h": np.int32(shape[0]), "w": np.int32(shape[1]), "data": [m.ravel().tolist() for _, m in out]})
 
-    return per_trajectory(df, roles, [roles.x, roles.y, roles.t], f, "channel string, h int, w int, data array<double>")
+    made = per_trajectory(df, roles, [roles.x, roles.y, roles.t, *([roles.aoi] if areas else [])], f, "channel string, h int, w int, data array<double>")
+    return made if labels is None else made.join(labels, list(roles.pk))
+
+
+def images_and_sequences(df: DataFrame, roles: Roles, kinds: Sequence[str], columns: Sequence[str], shape: tuple[int, int] = (32, 32), max_length: int = 10) -> DataFrame:
+    """(pk, channels, rows, length): both forms of each trajectory in one row; channels is an array of (channel, h, w, data), by name."""
+    own = images(df, roles, kinds, shape).groupBy(*roles.pk).agg(F.array_sort(F.collect_list(F.struct("channel", "h", "w", "data"))).alias("channels"))
+    return own.join(sequences(df, roles, columns, max_length), list(roles.pk))
 
 
 def sequences(df: DataFrame, roles: Roles, columns: Sequence[str], max_length: int = 10) -> DataFrame:

@@ -96,15 +96,15 @@ def idt_fixations(df: DataFrame, roles: Roles, min_duration: float, max_duration
     return fixation_features(per_trajectory(df, roles, [roles.x, roles.y, roles.t], f, ROLLED), roles)
 
 
-def ihmm_fixations(df: DataFrame, roles: Roles, fix2sac: float = 0.05, sac2fix: float = 0.05, fixation: tuple[float, float] = (0.002, 0.001), saccade: tuple[float, float] = (0.03, 0.005), viterbi: bool = False, kind: str = "euc", eps: float = 1e-10) -> DataFrame:
-    """Fixations by a two-state hidden Markov model of velocities."""
+def ihmm_fixations(df: DataFrame, roles: Roles, fix2sac: float = 0.05, sac2fix: float = 0.05, fixation: tuple[float, float] = (0.002, 0.001), saccade: tuple[float, float] = (0.03, 0.005), viterbi: bool = False, kind: str = "euc", eps: float = 1e-10, distributions: tuple[str, str] = ("norm", "norm")) -> DataFrame:
+    """Fixations by a two-state hidden Markov model of velocities; distributions: names of kernels.DISTRIBUTIONS for fixations and saccades."""
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, t = (pdf[c].to_numpy(float) for c in (roles.x, roles.y, roles.t))
         if len(x) < 2:
             return _roll_up(pdf, roles, np.zeros(len(x), int), np.zeros(len(x))).astype({"fixation_id": "int32"})
         step = K.step_lengths(x, y, kind)
-        flag = K.ihmm(step / (np.diff(t) + eps), fix2sac, sac2fix, fixation, saccade, viterbi)
+        flag = K.ihmm(step / (np.diff(t) + eps), fix2sac, sac2fix, fixation, saccade, viterbi, kinds=distributions)
         number = np.zeros(len(x), int)
         for k, (a, b) in enumerate(K.runs(flag), 1):
             number[a : b + 1] = k
@@ -211,34 +211,61 @@ def extract_areas(df: DataFrame, roles: Roles, methods: dict[str, AreaMethod], i
     return got.drop("__instance")
 
 
-def match_areas(df: DataFrame, roles: Roles, instance: Sequence[str], aoi: str = "AOI") -> DataFrame:
+def _merged(names: list, centres: np.ndarray, weights: np.ndarray, most: int) -> dict:
+    """Which area each one becomes when the two with the nearest centres are joined, again and again, until most are left; the earlier name stays."""
+    names, centres, weights, becomes = list(names), centres.astype(float).copy(), weights.astype(float).copy(), {k: k for k in names}
+    while len(names) > most:
+        d = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+        d[np.tril_indices(len(d))] = np.inf
+        i, j = np.unravel_index(int(d.argmin()), d.shape)
+        centres[i] = (centres[i] * weights[i] + centres[j] * weights[j]) / (weights[i] + weights[j])
+        weights[i] += weights[j]
+        becomes = {k: names[i] if v == names[j] else v for k, v in becomes.items()}
+        del names[j]
+        centres, weights = np.delete(centres, j, 0), np.delete(weights, j)
+    return becomes
+
+
+def match_areas(df: DataFrame, roles: Roles, instance: Sequence[str], aoi: str = "AOI", n_aoi: int | None = None, within: Sequence[str] = (), centre: bool = False) -> DataFrame:
     """Carries labels from instance to instance, in their order: of as many areas, each takes the label of the box of the earlier pattern that it overlaps most.
 
-    Only one box for each instance and area reaches the driver.
+    n_aoi: areas with near centres are first joined until so many are left. centre: boxes are compared about the mean of
+    their instance. within: columns of instance whose values each begin a new run of instances; instances of one run are
+    matched in one task, from one small row for each instance and area.
     """
-    boxes = df.where(F.col(aoi).isNotNull()).groupBy(*instance, aoi).agg(F.min(roles.x).alias("x0"), F.max(roles.x).alias("x1"), F.min(roles.y).alias("y0"), F.max(roles.y).alias("y1")).orderBy(*instance, aoi).collect()
-    patterns: dict[int, dict[str, tuple]] = {}
-    names: list[tuple] = []
-    by: dict[tuple, dict[str, tuple]] = {}
-    for b in boxes:
-        by.setdefault(tuple(b[c] for c in instance), {})[b[aoi]] = (b["x0"], b["x1"], b["y0"], b["y1"])
-
-    def common(a: tuple, b: tuple) -> float:
-        return max(0.0, min(a[1], b[1]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[2], b[2]))
-
-    for key, own in by.items():
-        before = patterns.get(len(own))
-        given = {k: k for k in own}
-        if before:
-            pairs = sorted(((common(v, w), k, n) for k, v in own.items() for n, w in before.items()), key=lambda p: (-p[0], p[1], p[2]))
-            given, taken = {}, set()
-            for _, k, n in pairs:
-                if k not in given and n not in taken:
-                    given[k] = n
-                    taken.add(n)
-        patterns[len(own)] = {given[k]: v for k, v in own.items()}
-        names += [(*key, k, given[k]) for k in own]
-    if not names:
-        return df
-    table = df.sparkSession.createDataFrame(names, f"{key_schema(df, [*instance, aoi])}, __label string")
+    rows = df.where(F.col(aoi).isNotNull())
+    if centre:
+        mean = rows.groupBy(*instance).agg(F.avg(roles.x).alias("__mx"), F.avg(roles.y).alias("__my"))
+        rows = rows.join(mean, list(instance))
+    x, y = (F.col(c) - F.col(m) if centre else F.col(c) for c, m in ((roles.x, "__mx"), (roles.y, "__my")))
+    boxes = rows.groupBy(*instance, aoi).agg(F.min(x).alias("__x0"), F.max(x).alias("__x1"), F.min(y).alias("__y0"), F.max(y).alias("__y1"), F.avg(x).alias("__cx"), F.avg(y).alias("__cy"), F.count("*").cast("double").alias("__k"))
+    box = ["__x0", "__x1", "__y0", "__y1"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, patterns = [], {}
+        for _, part in pdf.sort_values([*instance, aoi], kind="stable").groupby(list(instance), sort=True, dropna=False):
+            names = part[aoi].tolist()
+            becomes = _merged(names, part[["__cx", "__cy"]].to_numpy(), part["__k"].to_numpy(), n_aoi or len(names))
+            own = {}
+            for name, b in zip(names, part[box].to_numpy(), strict=True):
+                o = own.get(becomes[name])
+                own[becomes[name]] = b if o is None else np.array([min(o[0], b[0]), max(o[1], b[1]), min(o[2], b[2]), max(o[3], b[3])])
+            before, given = patterns.get(len(own)), {k: k for k in own}
+            if before:
+                p, q = list(own), list(before)
+                u, v = np.stack([own[k] for k in p])[:, None], np.stack([before[k] for k in q])[None]
+                common = np.maximum(0, np.minimum(u[..., 1], v[..., 1]) - np.maximum(u[..., 0], v[..., 0])) * np.maximum(0, np.minimum(u[..., 3], v[..., 3]) - np.maximum(u[..., 2], v[..., 2]))
+                given, taken = {}, set()
+                for _, a, b in sorted((-common[i, j], a, b) for i, a in enumerate(p) for j, b in enumerate(q)):
+                    if a not in given and b not in taken:
+                        given[a] = b
+                        taken.add(b)
+            patterns[len(own)] = {given[k]: v for k, v in own.items()}
+            part = part[[*instance, aoi]].copy()
+            part["__label"] = [given[becomes[k]] for k in names]
+            out.append(part)
+        return pd.concat(out)
+
+    keys = list(within)
+    table = boxes.withColumn("__run", F.lit(0)).groupBy(*keys, "__run").applyInPandas(run, f"{key_schema(df, [*instance, aoi])}, __label string")
     return df.join(table, [*instance, aoi], "left").withColumn(aoi, F.col("__label")).drop("__label").select(*df.columns)

@@ -103,6 +103,24 @@ def classification_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return each.agg((F.sum("hit") / F.sum("real")).alias("accuracy"), F.avg(p).alias("precision"), F.avg(r).alias("recall"), F.avg(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))).alias("f1"))
 
 
+def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """auc of one row: the share of pairs of a positive (1) and a negative (0) whose scores stand in that order, ties counting half; null without both.
+
+    Rows are counted by distinct score, so that ranks run over those.
+    """
+    each = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(truth) == 1).cast("double").alias("p"), F.count_if(F.col(truth) == 0).cast("double").alias("n"))
+    below = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    return each.select("p", "n", F.coalesce(below, F.lit(0.0)).alias("below")).agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+
+
+def pivoted(df: DataFrame, rows: Sequence[str], column: str, value: Column, most: int = 200) -> DataFrame:
+    """A row for each value of rows, a column for each of column (sorted; more than most are an error), with the aggregate value."""
+    found = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} columns")
+    return df.groupBy(*rows).pivot(column, found).agg(value)
+
+
 def task_type(df: DataFrame, label: str, most: int = 20) -> str:
     """classification for text, booleans and few whole values; else regression."""
     kind = dict(df.dtypes)[label]

@@ -87,19 +87,6 @@ select n.user_id, ln(1e-7 + coalesce(c,0) / n) / ln(0.1::double) as "corr_dim_m_
 SAMPLE = ", ".join(f"g{m} as (select * from (select user_id, k, {', '.join(f'lead(v, {d}) over o as v{d}' for d in range(m))} from e window o as (partition by user_id order by k)) where v{m - 1} is not null), c{m} as (select a.user_id, count(*) as c from g{m} a join g{m} b on a.user_id = b.user_id and a.k <> b.k and {' and '.join(f'abs(a.v{d}-b.v{d}) < 0.2' for d in range(m))} group by 1)" for m in (2, 3))
 add("sample_entropy", U, ["sample_entropy_m=2_r=0.2"], over_events(lambda df: Extractor([], R, [Kernel(["sample_entropy_m=2_r=0.2"], lambda x, y, t, p: [kernels.sample_entropy(x, y)])]).transform(df)), f"""{INTER}, {SAMPLE} select c2.user_id, -ln(coalesce(c3.c, 0) / (c2.c + 1e-6) + 1e-100) as "sample_entropy_m=2_r=0.2" from c2 left join c3 on c2.user_id = c3.user_id""", 6)
 
-
-def scalar_kernels() -> list[Kernel]:
-    return [
-        Kernel(["hurst_x_n10_fill_last"], lambda x, y, t, p: [kernels.hurst(x)]), Kernel(["fuzzy_m_2_r_0.2"], lambda x, y, t, p: [kernels.fuzzy_entropy(x, y)]), Kernel(["incremental_entropy"], lambda x, y, t, p: [kernels.incremental_entropy(x, y)]),
-        Kernel(["phase_entropy_m_2_tau_1"], lambda x, y, t, p: [kernels.phase_entropy(x, y)]), Kernel(["lyapunov_exponent_m_2_tau_1_T_1"], lambda x, y, t, p: [kernels.lyapunov(x, y)]), Kernel(["fractal_dim_m_2_tau_1"], lambda x, y, t, p: [kernels.fractal_dimension(10 * x, 10 * y)]),
-        Kernel(["imf0_mean", "imf0_std"], lambda x, y, t, p: kernels.hht_statistics(kernels.modes(np.column_stack([x, y]), 1)[0], ("mean", "std"))),
-    ]
-
-
-KERNEL_NAMES = [n for k in scalar_kernels() for n in k.names]
-add("measure_kernels", U, KERNEL_NAMES, over_events(lambda df: Extractor([], R, scalar_kernels()).transform(df)), None, 6)
-add("all_features", [*U, "id"], ["sac_length_mean", "reg_mask_sum", "fix_duration_mean", "saccade_nll", "spectral_entropy", *KERNEL_NAMES], over_events(lambda df: Extractor([P.SaccadeFeatures(), P.RegressionFeatures({"length": BASIC, "mask": ("sum",)}), P.MicroSaccadeFeatures(max_speed=0.5), P.FixationFeatures(), P.SaccadeUnlikelihood(), P.SpectralEntropy()], R, scalar_kernels(), {"cohort": "max"}).transform(df)), None, 6)
-
 # --- batteries
 _fix, _sac = ([f"{p}_{f}_{n}" for n in batteries.BASIC] for p, f in (("fix", "duration"), ("sac", "length")))
 add("battery_simple", U, [*_fix, *_sac], over_events(lambda df: batteries.simple_battery(R).transform(df)), f"""{STEPS} select user_id, {", ".join(f'{AGG[n].format(v=c, c="true")} as "{p}_{c}_{n}"' for p, c in (("fix", "duration"), ("sac", "length")) for n in batteries.BASIC)} from s group by user_id""")
@@ -210,3 +197,23 @@ add("double_center", ["p", "q"], ["value"], over_events(lambda df: tables.double
 ENTRY = "sac_length"
 
 from trajecta import kernel_queries  # noqa: E402, F401  it declares more
+
+# --- many kernels in one pass; what they give is also registered one by one
+MEASURES = {"hurst_x_n10_fill_last": "hurst_x_n10_fill_last", "fuzzy_m_2_r_0.2": "fuzzy", "incremental_entropy": "incremental_entropy", "phase_entropy_m_2_tau_1": "phase_entropy", "lyapunov_exponent_m_2_tau_1_T_1": "lyapunov_exponent", "fractal_dim_m_2_tau_1": "fractal_dim"}
+COMPUTE = (
+    lambda x, y: kernels.hurst(x), kernels.fuzzy_entropy, kernels.incremental_entropy, kernels.phase_entropy, kernels.lyapunov, lambda x, y: kernels.fractal_dimension(10 * x, 10 * y)
+)
+
+
+def scalar_kernels() -> list[Kernel]:
+    return [Kernel([n], lambda x, y, t, p, f=f: [f(x, y)]) for n, f in zip(MEASURES, COMPUTE, strict=True)]
+
+
+_one = next(iter(MEASURES.values()))
+_joined = f"({SQL[_one]}) {_one}" + "".join(f" join ({SQL[m]}) {m} using (user_id)" for m in MEASURES.values() if m != _one)
+add("measure_kernels", U, list(MEASURES), over_events(lambda df: Extractor([], R, scalar_kernels()).transform(df)), f"select * from {_joined}", 6)
+add("all_features", [*U, "id"], ["sac_length_mean", "reg_mask_sum", "fix_duration_mean", "saccade_nll", "spectral_entropy", *MEASURES], over_events(lambda df: Extractor([P.SaccadeFeatures(), P.RegressionFeatures({"length": BASIC, "mask": ("sum",)}), P.MicroSaccadeFeatures(max_speed=0.5), P.FixationFeatures(), P.SaccadeUnlikelihood(), P.SpectralEntropy()], R, scalar_kernels(), {"cohort": "max"}).transform(df)), f"""{STEPS},
+z as (select *, 0.9 * exp(-((length-1)*(length-1)) / (2 * case when length < 1 then 0.25 else 1.0 end)) * 2 / (sqrt(2*pi()) * 1.5) + 0.1 * exp(-((length-1)*(length-1)) / (2 * case when length < 1 then 0.3::double*0.3 else 0.7::double*0.7 end)) * 2 / (sqrt(2*pi()) * 1.0) as p, x*x + y*y as r from s),
+b as (select user_id, cast(user_id as varchar) as id, avg(length) as sac_length_mean, sum(case when {BACK} then 1.0 else 0.0 end) as reg_mask_sum, avg(duration) as fix_duration_mean, sum(case when p is null then 0 when p > 1e-15 then -ln(p) else 30 end) as saccade_nll, ln(sum(r)) - sum(case when r > 0 then r * ln(r) else 0 end) / sum(r) as spectral_entropy from z group by user_id)
+select * from b join {_joined} using (user_id)""", 6)
+add("imf", U, ["imf0_mean", "imf0_std"], over_events(lambda df: Extractor([], R, [Kernel(["imf0_mean", "imf0_std"], lambda x, y, t, p: kernels.hht_statistics(kernels.modes(np.column_stack([x, y]), 1)[0], ("mean", "std")))]).transform(df)), None, 6)

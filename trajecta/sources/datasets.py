@@ -100,3 +100,22 @@ def write_folds(df: DataFrame, path: str, how: str = "parquet") -> None:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True)
+
+
+def write_split_info(split: DataFrame, path: str, key: str, label: str, keys: Sequence[str]) -> None:
+    """One JSON line at path: the ids (column key, as text) of each fold, and what they were made by. split: key and fold, a row for each group."""
+    ids = split.groupBy("fold").agg(F.sort_array(F.collect_list(F.col(key).cast("string"))).alias("ids"))
+    whole = ids.agg(F.map_from_entries(F.collect_list(F.struct("fold", "ids"))).alias("folds"), F.lit(key).alias("split_pk"), F.lit(label).alias("label_col"), F.array(*[F.lit(k) for k in keys]).alias("pk_cols"))
+    whole.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_split_info(spark: SparkSession, path: str) -> DataFrame:
+    """(key, fold) of what write_split_info wrote; key is text."""
+    info = spark.read.schema("folds map<string,array<string>>, split_pk string, label_col string, pk_cols array<string>").json(path)
+    key = info.select("split_pk").first()[0]
+    return info.select(F.explode("folds").alias("fold", "ids")).select(F.explode("ids").alias(key), "fold")
+
+
+def log_result(spark: SparkSession, path: str, **values: object) -> None:
+    """Add a row of results to the log at path (a folder of JSON lines)."""
+    spark.createDataFrame([{k: str(v) for k, v in values.items()}]).write.mode("append").json(path)

@@ -23,6 +23,16 @@ def sessions(events: DataFrame, key: str, time: str, gap: str = "5 minutes", lat
     return events.withWatermark(time, late).groupBy(key, w.alias("w")).agg(F.count("*").alias("n"), F.min(time).alias("onset"), F.max(time).alias("offset")).select(key, "onset", "offset", "n")
 
 
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """The result of an aggregation over what its sources hold now, each state of it written whole to path by the executors."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.outputMode("complete").trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 OPEN = "n long, sx double, sy double, first double, last double, x double, y double, t double"
 
 
