@@ -65,32 +65,33 @@ def both_triangles(cells: DataFrame, roles: Roles) -> DataFrame:
     return cells.select(*roles.pk, F.explode(ends).alias("__cell")).select(*roles.pk, "__cell.i", "__cell.j")
 
 
-def _line_sums(cells: DataFrame, roles: Roles, line: Sequence[str], at: str, min_length: int) -> DataFrame:
-    """For each cell that starts min_length filled ones in its line, the number of filled cells from it on; added up."""
+def _with_rest(cells: DataFrame, roles: Roles, line: Sequence[str], at: str, min_length: int) -> DataFrame:
+    """cells with rest: for each that starts min_length filled ones in its line, the number of filled cells from it on; else null."""
     w = Window.partitionBy(*roles.pk, *line).orderBy(at)
     rest = F.count("*").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     run = F.lead(at, min_length - 1).over(w) == F.col(at) + min_length - 1 if min_length > 1 else F.lit(True)
-    return cells.withColumn("rest", rest).withColumn("run", run).groupBy(*roles.pk).agg(F.sum(F.when(F.coalesce("run", F.lit(False)), F.col("rest"))).alias("total"))
+    return cells.withColumn("rest", F.when(F.coalesce(run, F.lit(False)), rest))
 
 
 def rqa_measures(df: DataFrame, roles: Roles, rho: float = 0.1, min_length: int = 1, name: str = "euclidean", measures: Sequence[str] = ("rec", "det", "lam", "corm")) -> DataFrame:
-    """Recurrence, determinism, laminarity and centre of recurrence in percent. Lines are weighed by what is left of them, so determinism can exceed 100."""
+    """Recurrence, determinism, laminarity and centre of recurrence in percent. Lines are weighed by what is left of them, so determinism can exceed 100.
+
+    The pairs of points are formed once, and once more for laminarity.
+    """
     cells = recurrence(df, roles, rho, name)
     keys = list(roles.pk)
     sizes = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").cast("double").alias("n"))
-    sums = cells.groupBy(*keys).agg(F.count("*").alias("m"), F.sum(F.col("j") - F.col("i")).alias("far"))
+    lines = _with_rest(cells.withColumn("o", F.col("j") - F.col("i")), roles, ["o"], "i", min_length) if "det" in measures else cells.withColumn("rest", F.lit(0))
+    sums = lines.groupBy(*keys).agg(F.count("*").alias("m"), F.sum(F.col("j") - F.col("i")).alias("far"), F.sum("rest").alias("dl"))
     out = sizes.join(sums, keys, "left").fillna(0, ["m", "far"])
-    r = F.col("m") + EPS
-    made = {"rec": F.when(F.col("n") > 1, 200 * r / (F.col("n") * (F.col("n") - 1))), "corm": F.when(F.col("n") > 1, 100 * F.col("far") / ((F.col("n") - 1) * r))}
-    if "det" in measures:
-        det = _line_sums(cells.withColumn("o", F.col("j") - F.col("i")), roles, ["o"], "i", min_length).withColumnRenamed("total", "dl")
-        out = out.join(det, keys, "left")
-        made["det"] = 100 * F.coalesce("dl", F.lit(0)) / r
     if "lam" in measures:
-        both = both_triangles(cells, roles)
-        lam = _line_sums(both, roles, ["i"], "j", min_length).withColumnRenamed("total", "hl")  # the matrix is symmetric: rows and columns alike
-        out = out.join(lam, keys, "left")
-        made["lam"] = 100 * 2 * F.coalesce("hl", F.lit(0)) / (2 * r)
+        lam = _with_rest(both_triangles(cells, roles), roles, ["i"], "j", min_length)  # the matrix is symmetric: rows and columns alike
+        out = out.join(lam.groupBy(*keys).agg(F.sum("rest").alias("hl")), keys, "left")
+    r = F.col("m") + EPS
+    made = {
+        "rec": F.when(F.col("n") > 1, 200 * r / (F.col("n") * (F.col("n") - 1))), "corm": F.when(F.col("n") > 1, 100 * F.col("far") / ((F.col("n") - 1) * r)),
+        "det": 100 * F.coalesce("dl", F.lit(0)) / r, "lam": 100 * 2 * F.coalesce("hl", F.lit(0)) / (2 * r) if "lam" in measures else None,
+    }
     names = {m: f"{m}{'_metric' if m == 'rec' else ''}_{name}_length_{min_length}_rho_{rho}" for m in measures}
     return out.select(*keys, *[made[m].alias(names[m]) for m in measures])
 

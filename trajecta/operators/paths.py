@@ -70,12 +70,15 @@ def pair_distances(df: DataFrame, roles: Roles, expected: DataFrame) -> DataFram
     keys = list(roles.pk)
     rows = numbered(df, roles).select(*keys, *[k for k in roles.path_pk if k not in keys], "seq", F.col(roles.x).alias("px"), F.col(roles.y).alias("py"))
     pairs = rows.join(expected, list(roles.path_pk)).select(*keys, "seq", "step", ((F.col("px") - F.col("x_est")) ** 2 + (F.col("py") - F.col("y_est")) ** 2).alias("d"))
-    mine = pairs.groupBy(*keys, "seq").agg(F.min("d").alias("d"), F.sum("d").alias("s")).groupBy(*keys).agg(F.max("d").alias("pmax"), F.sum("d").alias("psum"), F.count("*").alias("n"), F.sum("s").alias("total"))
-    theirs = pairs.groupBy(*keys, "step").agg(F.min("d").alias("d")).groupBy(*keys).agg(F.max("d").alias("qmax"), F.sum("d").alias("qsum"), F.count("*").alias("m"))
-    n, m = F.col("n"), F.col("m")
-    return mine.join(theirs, keys).select(
-        *keys, F.sqrt(F.greatest("pmax", "qmax")).alias("hau_dist"), ((m * F.col("psum") + n * F.col("qsum")) / (4 * n * m)).alias("man_dist"),
-        ((F.col("psum") + F.col("qsum")) / F.greatest(n, m)).alias("eye_dist"), (F.col("total") / (n * m)).alias("tde_dist"),
+    # least and sum for each point of either path, in one pass over the pairs
+    of = [F.col(k) for k in keys]
+    sides = pairs.groupingSets([[*of, F.col("seq")], [*of, F.col("step")]], *of, F.col("seq"), F.col("step")).agg(F.min("d").alias("d"), F.sum("d").alias("s"))
+    mine, theirs = F.col("step").isNull(), F.col("seq").isNull()
+    n, m = F.count_if(mine), F.count_if(theirs)
+    psum, qsum = F.sum(F.when(mine, F.col("d"))), F.sum(F.when(theirs, F.col("d")))
+    return sides.groupBy(*keys).agg(
+        F.sqrt(F.max("d")).alias("hau_dist"), ((m * psum + n * qsum) / (4 * n * m)).alias("man_dist"),
+        ((psum + qsum) / F.greatest(n, m)).alias("eye_dist"), (F.sum(F.when(mine, F.col("s"))) / (n * m)).alias("tde_dist"),
     )
 
 
