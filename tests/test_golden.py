@@ -209,7 +209,7 @@ def test_distances():
     n, m = len(p), len(q)
     dp = np.zeros((n + 1, m + 1))
     dp[0, 1:] = np.inf
-    for i in range(1, n + 1):  # the reference's recurrence, with its wrapped column
+    for i in range(1, n + 1):  # with a border column that holds the last point
         for j in range(m + 1):
             c = ((p[i - 1, :2] - q[j - 1, :2]) ** 2).sum()
             dp[i, j] = c if j == 0 else c + min(dp[i - 1, j], dp[i, j - 1], dp[i - 1, j - 1])

@@ -30,7 +30,7 @@ def rows(frame, columns):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     got = QUERIES[name](spark, SF).toPandas()
-    assert name in ("missing_pupil_blinks", "ivt_features", "blink_merge") or len(got)
+    assert name in ("ivt_features", "blink_merge") or len(got)  # these two find nothing in a table this small
     if name in SQL:
         want = con.execute(SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)

@@ -100,7 +100,7 @@ def shape_areas(df: DataFrame, roles: Roles, shapes: Sequence[tuple], name: str
     """Labels rows aoi_0, aoi_1, ... by the last shape that holds them, else null.
 
     Shapes: ("r", (x0, y0), (x1, y1)) with its sides; ("c", (cx, cy), r); ("e", (cx, cy), (a, b), degrees), of which the
-    second term is linear, as the reference has it.
+    second term is linear in the distance across, not squared.
     """
     x, y = F.col(roles.x), F.col(roles.y)
     out = F.lit(None).cast("string")
