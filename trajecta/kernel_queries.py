@@ -199,7 +199,26 @@ def _eyes(df: DataFrame) -> DataFrame:
 add("topological_features", U, ["time", "curve", "entropy"], over_events(lambda df: reports.topological_features(df, R, 0.6, 0.5, 6)), None, 6)
 add("openness_blinks", U, ["onset", "offset", "duration", "openness_at_peak"], over_events(lambda df: preprocess.openness_blinks(_eyes(df), R, "eo", 100.0)), None, 6)
 add("overlap_aoi", ["user_id", "event_id", "AOI"], [], over_events(lambda df: preprocess.extract_areas(df.withColumn("diameters", F.col("dispersion") / 100), R, {"overlap": preprocess.overlap_method("diameters", ("x", "y"))}, ["user_id"], columns=["diameters"])))
-add("ihmm_laplace", ["user_id", "fixation_id"], ["x", "y", "duration"], over_events(lambda df: preprocess.ihmm_fixations(df, R, fixation=(2e-6, 1e-6), saccade=(3e-5, 1e-5), distributions=("laplace", "logistic"))), None, 6)
+
+# fixations by a hidden Markov model; the two distributions have closed forms
+_cost = f"""{NUMBERED}, v as (select *, sqrt(pow(lead(x) over w - x, 2) + pow(lead(y) over w - y, 2)) / (lead(t) over w - t + 1e-10) as speed from q {W}),
+z as (select *, (speed - 2e-6) / 1e-6 as a, (speed - 3e-5) / 1e-5 as b from v where seq < n - 1),
+c as (select user_id, seq, n, -ln(greatest(1 - case when a < 0 then 0.5 * exp(least(a, 0)) else 1 - 0.5 * exp(-greatest(a, 0)) end, 1e-10)) as c0, -ln(greatest(1 / (1 + exp(-b)), 1e-10)) as c1 from z)"""
+_stay, _move = f"({-math.log(0.95)!r}::double)", f"({-math.log(0.05)!r}::double)"
+_runs = """h as (select *, case when fix and not coalesce(lag(fix) over o, false) then 1 else 0 end as st from g window o as (partition by user_id order by seq)), i as (select *, cast(sum(st) over (partition by user_id order by seq rows unbounded preceding) as integer) as fixation_id from h)
+select i.user_id, fixation_id, avg(x) as x, avg(y) as y, max(t) - min(t) as duration from i join q on q.user_id = i.user_id and q.seq = i.seq where fix group by 1, 2"""
+
+
+def _ihmm(viterbi: bool) -> object:
+    return over_events(lambda df: preprocess.ihmm_fixations(df, R, fixation=(2e-6, 1e-6), saccade=(3e-5, 1e-5), viterbi=viterbi, distributions=("laplace", "logistic")))
+
+
+add("ihmm_laplace", ["user_id", "fixation_id"], ["x", "y", "duration"], _ihmm(False), f"""with recursive {_cost}, r(user_id, seq, n0, n1) as (select user_id, seq, c0 - ln(0.5::double), c1 - ln(0.5::double) from c where seq = 0 union all
+ select c.user_id, c.seq, c0 + greatest(n0 + {_stay}, n1 + {_move}), c1 + greatest(n0 + {_move}, n1 + {_stay}) from r join c on c.user_id = r.user_id and c.seq = r.seq + 1), g as (select user_id, seq, not n1 > n0 as fix from r), {_runs}""", 8)
+add("ihmm_viterbi", ["user_id", "fixation_id"], ["x", "y", "duration"], _ihmm(True), f"""with recursive {_cost}, r(user_id, seq, n0, n1, b0, b1) as (select user_id, seq, c0 - ln(0.5::double), c1 - ln(0.5::double), 0, 0 from c where seq = 0 union all
+ select c.user_id, c.seq, c0 + least(n0 + {_stay}, n1 + {_move}), c1 + least(n0 + {_move}, n1 + {_stay}), (n1 + {_move} < n0 + {_stay})::int, (n1 + {_stay} < n0 + {_move})::int from r join c on c.user_id = r.user_id and c.seq = r.seq + 1),
+p(user_id, seq, state) as (select r.user_id, r.seq, (n1 < n0)::int from r join c on c.user_id = r.user_id and c.seq = r.seq where r.seq = c.n - 2 union all select r.user_id, r.seq - 1, case when p.state = 1 then b1 else b0 end from p join r on r.user_id = p.user_id and r.seq = p.seq where r.seq > 0),
+g as (select user_id, seq, state = 0 as fix from p), {_runs}""", 8)
 add("aoi_match_joined", ["cohort", "user_id", "event_id", "AOI"], [], over_events(lambda df: preprocess.match_areas(fixations.shape_areas(df, R, (("r", (0.1, 0.1), (0.4, 0.5)), ("c", (0.6, 0.6), 0.2), ("e", (0.3, 0.7), (0.3, 0.2), 30.0))), R, ["cohort"], n_aoi=2, centre=True)))
 add("drawings", ["user_id", "channel"], ["total"], over_events(lambda df: maps.images(df, R, ("heatmap_zoomed", "baseline", "aoi_zoomed", "saccade", "gaf_sum"), (16, 16)).select("user_id", "channel", F.aggregate("data", F.lit(0.0), lambda a, b: a + b).alias("total"))), None, 4)
 add("images_and_sequences", ["user_id", "channels", "length"], ["last_y"], over_events(lambda df: maps.images_and_sequences(df, R, ("heatmap", "rqa"), ["x", "y"], (8, 8), 60).select("user_id", F.size("channels").alias("channels"), F.col("length").cast("int").alias("length"), F.col("rows")[59][1].alias("last_y"))), f"with {NUMBERED} select user_id, 2::int as channels, least(count(*), 60)::int as length, coalesce(max(case when seq = 59 then y end), 0) as last_y from q group by 1")
