@@ -32,8 +32,8 @@ __all__ = ["copy_classes", "keep_one", "near_copies", "shingles"]
 
 SIMILAR = 0.8
 LEAST_BUCKETS, MOST_BUCKETS, FULL = 16, 1024, 15  # of a profile; what a bucket counts at most
-COMMON, MOST_COMMON, COUNTED = 8, 1 << 16, 1 << 20  # a shingle is common if a task's texts hold it so often; so many are put last; a task counts so many
-PAIRS = 1 << 18  # that are looked at together (of those, cells of profiles)
+COMMON, MOST_COMMON, COUNTED = 8, 1 << 16, 1 << 19  # a shingle is common if a task's texts hold it so often; so many are put last; a task counts so many
+PAIRS = 1 << 16  # that are looked at together (and four times as many cells of profiles)
 FEW_KEYS = 3  # shared shingles of a text that are looked at before all are
 
 
@@ -44,8 +44,8 @@ def set_fingerprint(found: np.ndarray) -> int:
 
 
 def profile(found: np.ndarray) -> bytes:
-    """How many of the set fall into each bucket, at most FULL, two to a byte. There is a bucket for every two to four, within bounds."""
-    n = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, int(np.ceil(np.log2(len(found) / 4))))))
+    """How many of the set fall into each bucket, at most FULL, two to a byte. There is a bucket for every one or two, within bounds."""
+    n = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, int(np.ceil(np.log2(len(found) / 2))))))
     count = np.minimum(np.bincount((found & np.uint64(n - 1)).astype(np.int64), minlength=n), FULL).astype(np.uint8)
     return (count[0::2] | count[1::2] << 4).tobytes()
 
@@ -61,7 +61,7 @@ class Profiles:
             self.at[here] = np.arange(len(here))
             raw = np.frombuffer(b"".join(packed[i] for i in here), np.uint8).reshape(len(here), n // 2)
             rows = np.stack([raw & 15, raw >> 4], axis=2).reshape(len(here), n).astype(np.int16)
-            self.rows[n], self.folded[n // 2] = rows, np.minimum(rows.reshape(len(here), 2, n // 2).sum(axis=1), FULL)
+            self.rows[n], self.folded[n // 2] = rows, np.minimum(rows[:, : n // 2] + rows[:, n // 2 :], FULL)
 
     def differences(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """For each pair (i, j) the sum of differences, on the fewer buckets of both."""
@@ -69,8 +69,8 @@ class Profiles:
         for n in np.unique(low).tolist():
             for wider in (False, True):
                 here = np.flatnonzero((low == n) & ((high > n) == wider))
-                for s in range(0, len(here), PAIRS // n):
-                    h = here[s : s + PAIRS // n]
+                for s in range(0, len(here), 4 * PAIRS // n):
+                    h = here[s : s + 4 * PAIRS // n]
                     small, large = np.where(self.level[i[h]] == n, i[h], j[h]), np.where(self.level[i[h]] == n, j[h], i[h])
                     other = self.folded[n] if wider else self.rows[n]
                     out[h] = np.abs(self.rows[n][self.at[small]] - other[self.at[large]]).sum(axis=1, dtype=np.int32)
