@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import WORD, checkpoint, shielded, table, with_outputs
+from trajecta.llm.common import WORD, checkpoint, shielded, table
 
 BLOCK = 4096
 EPS = 1e-9

@@ -197,6 +197,7 @@ def descend(state: DataFrame, degree: int, most: int, turn: int) -> DataFrame:
         once = np.ones(len(at), bool)  # of a pair that comes twice the fresh one
         once[1:] = (v[at][1:] != v[at][:-1]) | (m[at][1:] != m[at][:-1])
         at = at[once]
+        at = at[np.lexsort((1 - flag[at], v[at]))]  # fresh ones first
         v, m, mhome, flag = v[at], m[at], mhome[at], flag[at]
         lonely = np.isin(v, v[flag == 1], invert=True)  # without a fresh member nothing is to be joined
         v, m, mhome, flag = v[~lonely], m[~lonely], mhome[~lonely], flag[~lonely]
@@ -228,7 +229,9 @@ def descend(state: DataFrame, degree: int, most: int, turn: int) -> DataFrame:
         v, m, flag = _joined(lists["a"], np.int64), np.searchsorted(ids, _joined(lists["b"], np.int64)), _joined(lists["d"], np.uint8)
         start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate((start, [len(v)])))
-        wide = int(size.max()) if len(size) else 0
+        fresh = np.add.reduceat(flag.astype(np.int64), start) if len(start) else start
+        order = np.argsort(size, kind="stable")  # joins of like size together
+        start, size, fresh = start[order], size[order], fresh[order]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
 
@@ -239,16 +242,10 @@ def descend(state: DataFrame, degree: int, most: int, turn: int) -> DataFrame:
             found[:] = [(a[at], b[at], d[at])]
             held = len(at)
 
-        for s in range(0, len(start), step := max(1, PAIRS // max(1, wide * wide))):
-            own, n = start[s : s + step], size[s : s + step]
-            place = np.minimum(own[:, None] + np.arange(wide), len(v) - 1)
-            real = np.arange(wide) < n[:, None]
-            who, new = m[place], (flag[place] == 1) & real
-            x = decode(raw[who.ravel()]).reshape(len(own), wide, -1)
-            norm = (x * x).sum(2)
-            d = np.maximum(norm[:, :, None] + norm[:, None] - 2 * x @ x.transpose(0, 2, 1), 0)
-            fine = (new[:, :, None] | new[:, None]) & real[:, :, None] & real[:, None] & (who[:, :, None] != who[:, None]) & (d < worst[who][:, :, None])
-            if wide > PER_HOME and fine.sum() > PER_HOME * real.sum() // 2:  # no more than so many of one join can be named
+        def name(fine: np.ndarray, d: np.ndarray, u: np.ndarray, w: np.ndarray) -> None:
+            """Candidates w for u where fine, for each u the nearest of a join. u: (joins, rows), w: (joins, columns)."""
+            nonlocal held
+            if d.shape[2] > PER_HOME and fine.sum() > PER_HOME * u.size // 2:
                 d = np.where(fine, d, np.inf)
                 j = np.argpartition(d, PER_HOME - 1, axis=2)[:, :, :PER_HOME]
                 d = np.take_along_axis(d, j, 2)
@@ -257,8 +254,24 @@ def descend(state: DataFrame, degree: int, most: int, turn: int) -> DataFrame:
             else:
                 c, i, j = np.nonzero(fine)
                 d = d[c, i, j]
-            found.append((who[c, i], who[c, j], d))
+            found.append((u[c, i], w[c, j], d))
             held += len(c)
+
+        s = 0
+        while s < len(start):
+            e = s + max(1, int(np.searchsorted(np.cumsum(size[s:] ** 2), PAIRS)))
+            own, n, k, wide, high = start[s:e], size[s:e], fresh[s:e], int(size[s:e].max()), int(fresh[s:e].max())
+            s = e
+            at = np.arange(wide)
+            who = m[np.minimum(own[:, None] + at, len(v) - 1)]
+            real, new = at < n[:, None], at < k[:, None]
+            x = decode(raw[who.ravel()]).reshape(len(own), wide, -1)
+            norm, limit = (x * x).sum(2), worst[who]
+            top = who[:, :high]
+            d = np.maximum(norm[:, :high, None] + norm[:, None] - 2 * x[:, :high] @ x.transpose(0, 2, 1), 0)  # fresh ones with all
+            pair = new[:, :high, None] & real[:, None] & (top[:, :, None] != who[:, None])
+            name(pair & (d < limit[:, :high, None]), d, top, who)
+            name((pair & ~new[:, None] & (d < limit[:, None])).transpose(0, 2, 1), d.transpose(0, 2, 1), who, top)
             if held > 2 * PAIRS:
                 shrink()
         if not found:
