@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trajecta.llm import bloom, near_copies, shingling
@@ -85,6 +86,39 @@ def test_hot_groups_are_cut_into_blocks(spark, monkeypatch):
     assert got == dict(enumerate(plain_classes([t for _, t, _ in made])))
 
 
+def test_a_large_group_does_not_become_all_its_pairs(spark, monkeypatch):
+    r, passed, linked = random.Random(6), [], []
+    similar, components = near_copies.similar, near_copies.connected_components
+    monkeypatch.setattr(near_copies, "similar", lambda found, *rest: passed.append(found.count()) or similar(found, *rest))
+    monkeypatch.setattr(near_copies, "connected_components", lambda edges: linked.append(edges.count()) or components(edges))
+    made = []
+    for k in range(1200):  # 396 shingles, of which at most 20 are a text's own: all are similar
+        w = [f"w{p}" for p in range(400)]
+        for p in r.sample(range(400), 4):
+            w[p] = f"x{r.randrange(10**9)}"
+        made.append((k, " ".join(w), "s"))
+    got = {o["component_id"] for o in near_copies.near_copies(spark.createDataFrame(made, DOCS)).collect()}
+    assert got == {0} and max(passed) < 4 * len(made) and max(linked) < 4 * len(made)
+
+
+def near_rows(n):
+    """One group of n texts, each a component, all with the same profile."""
+    same = near_copies.profile(np.random.default_rng(7).integers(0, 1 << 63, 96, dtype=np.uint64))
+    node, zero = np.arange(n), np.zeros(n, np.int64)
+    columns = {"key": zero + 1, "i": zero, "j": zero, "side": zero, "node": node, "size": zero + 96, "place": zero, "component": node, "profile": [same] * n}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+@pytest.mark.parametrize("n", [40, 1500])
+def test_what_a_round_holds_back_is_told(n):
+    out = pa.Table.from_batches(near_copies._apart(1)(iter([near_rows(n)]))).to_pylist()
+    some, back = {(o["a"], o["b"]) for o in out if o["b"] is not None}, {o["a"] for o in out if o["b"] is None}
+    assert {x for p in some for x in p} == set(range(n)) and len(some) <= 2 * n
+    assert {x for i in range(n) for x in (i, n - 1 - i) if i < n - 1 - i and (i, n - 1 - i) not in some} <= back
+    every = pa.Table.from_batches(near_copies._apart(n)(iter([near_rows(n)]))).to_pylist()
+    assert len(every) == n * (n - 1) // 2 and all(o["b"] is not None for o in every)
+
+
 @pytest.fixture(scope="module")
 def odd_rows():
     r = random.Random(5)

@@ -9,8 +9,10 @@ a similarity of 0.8 share a shingle among the first fifth of either, so texts th
 joined by verified links are compared. Each text has a profile: how many of its shingles fall into each of some buckets.
 The sum of differences of two profiles is at most the number of shingles that only one text holds (the same triangle
 inequality), so most pairs fall without their texts being read, and none that is similar does. What is left is verified
-on the two sets. First each text is held against its nearest and the first of those that share a shingle, then every
-pair that is still apart is verified. So no link is wrong, and the components are those of all links.
+on the two sets. This goes in rounds, so that a large group of near copies does not become all its pairs: of those that
+share a shingle, each text is held against its nearest and the first, and what is similar is joined. Texts with pairs that
+a round held back go to the next, which drops those that are joined by then and takes more of the rest, until none is held
+back. So no link is wrong, and the components are those of all links.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ LEAST_BUCKETS, MOST_BUCKETS, FULL = 16, 1024, 15  # of a profile; what a bucket
 COMMON, MOST_COMMON, COUNTED = 8, 1 << 16, 1 << 19  # a shingle is common if a task's texts hold it so often; so many are put last; a task counts so many
 PAIRS = 1 << 16  # that are looked at together (and four times as many cells of profiles)
 FEW_KEYS = 3  # shared shingles of a text that are looked at before all are
+MORE = 8  # times as many of a text's nearest in the next round
 
 
 def set_fingerprint(found: np.ndarray) -> int:
@@ -131,51 +134,68 @@ def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray, maybe: np.nd
     return np.concatenate([found[~known], late])[:n]
 
 
-def _apart(few: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From sorted rows (key, i, j, side, node, size, place, component, profile) the pairs (a, b) of different components that can be similar: all, or (few) of each text those with its nearest and with the first of all."""
+def _apart(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From sorted rows (key, i, j, side, node, size, place, component, profile) pairs (a, b) of different components that can be similar: of each text in each group those with so many of its nearest and with the first of all. Texts with further pairs follow as (a, null)."""
 
-    def near(rows: np.ndarray, i: np.ndarray, j: np.ndarray, profiles: Profiles, lead: np.ndarray) -> pa.RecordBatch | None:
-        """Of the pairs (i, j) of rows those that can be similar. lead: whether a row has its group's smallest node."""
-        node, size, component, rest = rows[:, 4], rows[:, 5], rows[:, 7], rows[:, 5] - rows[:, 6]  # rest: shingles from the shared one on
+    def near(rows: np.ndarray, i: np.ndarray, j: np.ndarray, profiles: Profiles) -> tuple[np.ndarray, ...]:
+        """Of the pairs (i, j) of rows those that can be similar, and their sums of differences."""
+        size, component, rest = rows[:, 5], rows[:, 7], rows[:, 5] - rows[:, 6]  # rest: shingles from the shared one on
         both = size[i] + size[j]
         only = both * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6  # so many shingles at most are in one set only
         fine = (component[i] != component[j]) & (np.minimum(rest[i], rest[j]) * 2 >= both - only)
         i, j, only = i[fine], j[fine], only[fine]
         differ = profiles.differences(i, j)
         fine = differ <= only
-        i, j, differ = i[fine], j[fine], differ[fine]
-        if few and len(i):
-            of, it = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)  # each pair counts for both of its texts
-            order = np.lexsort((np.tile(differ, 2), of))
-            nearest = it[order][np.concatenate(([True], of[order][1:] != of[order][:-1]))]
-            keep = np.unique(np.concatenate([nearest, np.flatnonzero(lead[i] | lead[j])]))
-            i, j = i[keep], j[keep]
-        if not len(i):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+        return i[fine], j[fine], differ[fine]
+
+    def thinned(found: list[tuple[np.ndarray, ...]], lead: np.ndarray, further: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of found pairs (i, j, differ) those that pass; rows of the others are marked in further. lead: whether a row has its group's smallest node."""
+        i, j, differ = (np.concatenate(x) for x in zip(*found, strict=True))
+        of, it = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)  # each pair counts for both of its texts
+        order = np.lexsort((np.tile(differ, 2), of))
+        at = np.arange(len(of))
+        first = np.concatenate(([True], of[order][1:] != of[order][:-1]))[: len(of)]
+        keep = lead[i] | lead[j]
+        keep[it[order][at - np.maximum.accumulate(np.where(first, at, 0)) < most]] = True
+        further[i[~keep]] = further[j[~keep]] = True
+        return i[keep], j[keep], differ[keep]
+
+    def batch(a: np.ndarray, b: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        if len(a):
+            ends = [pa.array(a), pa.nulls(len(a), pa.int64())] if b is None else [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
     def pairs(rows: np.ndarray, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
         """rows of whole groups."""
         start = np.concatenate(([0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1))
         size = np.diff(np.concatenate((start, [len(rows)])))
         group = np.repeat(np.arange(len(start)), size)
-        lead = rows[:, 4] == np.minimum.reduceat(rows[:, 4], start)[group]
+        node = rows[:, 4]
+        lead, further = node == np.minimum.reduceat(node, start)[group], np.zeros(len(rows), bool)
         profiles = Profiles(packed)
         if len(start) == 1 and (rows[0, 1] != rows[0, 2] or len(rows) ** 2 > 2 * PAIRS):
             same = rows[0, 1] == rows[0, 2]
             left, right = (np.arange(len(rows)),) * 2 if same else (np.flatnonzero(rows[:, 3] == 0), np.flatnonzero(rows[:, 3] == 1))
+            found, count = [], 0
             for s in range(0, len(left), step := max(1, PAIRS // max(1, len(right)))):
                 i, j = np.repeat(left[s : s + step], len(right)), np.tile(right, len(left[s : s + step]))
                 if same:
                     i, j = i[j > i], j[j > i]
-                if (out := near(rows, i, j, profiles, lead)) is not None:
-                    yield out
-            return
-        after = np.repeat(start + size, size) - np.arange(len(rows)) - 1  # rows of its group behind each row
-        i = np.repeat(np.arange(len(rows)), after)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
-        if (out := near(rows, i, j, profiles, lead)) is not None:
-            yield out
+                found.append(near(rows, i, j, profiles))
+                count += len(found[-1][0])
+                if count > 2 * PAIRS:
+                    found = [thinned(found, lead, further)]
+                    if (count := len(found[0][0])) > PAIRS:  # so many are not held
+                        yield from batch(node[found[0][0]], node[found[0][1]])
+                        found, count = [], 0
+        else:
+            after = np.repeat(start + size, size) - np.arange(len(rows)) - 1  # rows of its group behind each row
+            i = np.repeat(np.arange(len(rows)), after)
+            found = [near(rows, i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after), profiles)]
+        if found:
+            i, j, _ = thinned(found, lead, further)
+            yield from batch(node[i], node[j])
+        yield from batch(np.unique(node[further]))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, list[bytes]]] = []  # whole groups
@@ -294,13 +314,23 @@ def copy_classes(df: DataFrame, text: str = "text") -> DataFrame:
     shared = with_hit(places, ["key"], counts.select("key"), counts.count(), 1 << 22).where("__hit").join(counts.select("key"), "key")
     shared = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("shared"))  # no longer than the text's prefix
     kept = checkpoint(shared.join(nodes.select("node", "size", "profile"), "node"))
-    for few in (True, False):  # the last pass takes every pair that is still apart
-        labelled = kept.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    few, most, asked = True, 1, kept
+    while True:
+        labelled = asked.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         some = F.slice("shared", 1, FEW_KEYS) if few else F.col("shared")
         rows = labelled.withColumn("s", F.explode(some)).select("s.key", "node", "size", "s.place", "component", "profile")
-        more = checkpoint(arrow_map(in_groups(rows, hot), _apart(few), "a long, b long").distinct())
-        found = found.unionByName(similar(more, nodes, source))
-        components = checkpoint(connected_components(found))
+        told = written(arrow_map(in_groups(rows, hot), _apart(most), "a long, b long").distinct())
+        more = similar(told.where("b is not null"), nodes, source)
+        if not more.isEmpty():
+            joined = components.select(F.col("node").alias("a"), F.col("component").alias("b"))  # stars stand for all links so far
+            components = checkpoint(connected_components(joined.unionByName(more)))
+        if few:
+            few = False  # all shared shingles of all texts are next
+            continue
+        back = told.where("b is null").select(F.col("a").alias("node"))
+        if back.isEmpty():
+            break
+        asked, most = kept.join(back, "node", "left_semi"), most * MORE
     return nodes.select("node", "d1", "d2").join(components, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
 
 
